@@ -1,0 +1,188 @@
+"""License scans by canonical digests.
+
+A text is normalised - lower case, copyright lines dropped, equivalent spellings
+made one, punctuation and white space made single spaces - and hashed; equal
+digests are equal licences.  Three units of a document are looked up: the entire
+text, each paragraph and each line, so that a notice inside a longer document is
+found by the same join.  Digests are joined by hash with those of the known
+licences; nothing compares texts pairwise.
+
+Normalising works on lines: a paragraph's canonical form is its lines' forms
+joined by a space, and so is the entire text's.  All of it is DataFrame
+expressions, one pass over the text, and only digests reach the join.
+
+Defined cases: a null or empty text, or one of nothing but punctuation and
+copyright lines, matches nothing (licence_id null, no notices); repeated rows
+each give a row (their notices are counted once a row); an empty table gives an
+empty one; known licences with equal canonical texts count as the one whose id
+sorts first.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Public licence texts and notices, by a short id.
+_MIT_BODY = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+    'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
+    "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and "
+    "to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n"
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of "
+    "the Software.\n"
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO '
+    "THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE "
+    "AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+    "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS "
+    "IN THE SOFTWARE."
+)
+_ISC_BODY = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+    "granted, provided that the above copyright notice and this permission notice appear in all copies.\n"
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING '
+    "ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, "
+    "DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+    "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE "
+    "USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+_ZERO_BSD_BODY = _ISC_BODY.replace(
+    " granted, provided that the above copyright notice and this permission notice appear in all copies.", " granted."
+)
+KNOWN = [
+    ("0BSD", _ZERO_BSD_BODY),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    (
+        "Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance '
+        "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless "
+        "required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
+        '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the '
+        "specific language governing permissions and limitations under the License.",
+    ),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("ISC", _ISC_BODY),
+    ("MIT", "Released under the MIT License."),
+    ("MIT", "MIT License\n" + _MIT_BODY),
+    ("MIT", _MIT_BODY),
+]
+# Spellings that count as the same, as (pattern, replacement) on lower-case text.
+SPELLINGS = [
+    (r"\blicence(s|d|e|es)?\b", r"license$1"),
+    (r"\bsub[- ]licen[cs]e", "sublicense"),
+    (r"\bnon[- ]?commercial\b", "noncommercial"),
+    (r"\bnon[- ]infringement\b", "noninfringement"),
+    (r"\bmerchantibility\b", "merchantability"),
+    (r"\bcopyright (owner|holder)", "copyright holder"),
+    (r"\bhttp://", "https://"),
+    (r"\bper cent\b", "percent"),
+]
+#: Lines that state a copyright; they differ between copies of one licence.
+COPYRIGHT_LINE = r"^[^a-z0-9]*((\(c\)|©|copyright\s+(\(c\)|©|[0-9]{4}|by\b)).*|all rights reserved[^a-z0-9]*)$"
+
+
+def canonical_line(line: Column) -> Column:
+    """One line in canonical form; '' for a copyright line or one without letters and digits."""
+    x = F.lower(line)
+    copyright_ = x.rlike(COPYRIGHT_LINE)
+    spelled = x
+    for pattern, to in SPELLINGS:
+        spelled = F.regexp_replace(spelled, pattern, to)
+    # Most lines hold none of the words that have other spellings.
+    x = F.when(x.rlike(r"licen|commercial|infring|merchant|copyright|http:|per cent"), spelled).otherwise(x)
+    x = F.trim(F.regexp_replace(x, r"[\p{P}\p{S}\p{Z}\p{C}]+", " "))
+    return F.when(copyright_, F.lit("")).otherwise(x)
+
+
+def _digests(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """``keep`` columns and ``_units``: array of (scope, at, digest) of the entire text, paragraphs and lines."""
+    lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), canonical_line)
+    out = docs.select(*keep, lines.alias("_lines"), F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: ~x.rlike(r"\S")).alias("_blank"))
+    full = F.filter("_lines", lambda x: x != "")
+    ls, blank = F.col("_lines"), F.col("_blank")
+    # A paragraph begins at a line with text that has a blank line or nothing before it.
+    begins = F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: ~blank[i] & ((i == 0) | F.get(blank, i - 1)))
+    out = out.select(*keep, "_lines", "_blank", full.alias("_full"), begins.alias("_begins"))
+    n = F.size(F.col("_lines"))
+    begins, ls = F.col("_begins"), F.col("_lines")
+
+    def unit(scope: str, at: Column, x: Column) -> Column:
+        return F.struct(F.lit(scope).alias("scope"), at.cast("int").alias("at"), F.when(x != "", F.sha2(x, 256)).alias("digest"))
+
+    entire = F.array(unit("text", F.lit(0), F.array_join("_full", " ")))
+    single = F.transform(ls, lambda x, i: unit("line", i, x))
+    paragraphs = F.transform(
+        begins,
+        lambda b, k: unit(
+            "paragraph",
+            b,
+            F.array_join(F.filter(F.slice(ls, b + 1, F.coalesce(F.get(begins, k + 1), n) - b), lambda x: x != ""), " "),
+        ),
+    )
+    units = F.filter(F.concat(entire, paragraphs, single), lambda u: u["digest"].isNotNull())
+    return out.select(*keep, units.alias("_units"))
+
+
+def known_digests(known: DataFrame) -> DataFrame:
+    """licence_id, digest (unique) of licences given as (licence_id, text)."""
+    found = _digests(known, "text", ["licence_id"]).select("licence_id", F.explode("_units").alias("u")).where("u.scope = 'text'")
+    return found.groupBy(F.col("u.digest").alias("digest")).agg(F.min("licence_id").alias("licence_id"))
+
+
+def default_known(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(KNOWN, "licence_id string, text string")
+
+
+def scan(docs: DataFrame, known: DataFrame | None = None, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per matched unit: doc_id, scope (text, paragraph, line), at (line number), licence_id."""
+    known = known_digests(known if known is not None else default_known(docs.sparkSession))
+    units = _digests(docs, text, [id_column]).select(id_column, F.explode("_units").alias("u"))
+    return units.select(id_column, "u.*").join(known, "digest").select(id_column, "scope", "at", "licence_id")
+
+
+def report(docs: DataFrame, known: DataFrame | None = None, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: licence_id of the entire text (or null), notices (licences found in it, sorted, comma-joined), n_notices (matched lines)."""
+    hits = scan(docs, known, id_column, text).distinct()
+    by_doc = hits.groupBy(id_column).agg(
+        F.max(F.when(F.col("scope") == "text", F.col("licence_id"))).alias("licence_id"),
+        F.array_join(F.array_sort(F.collect_set("licence_id")), ",").alias("notices"),
+        F.count_if(F.col("scope") == "line").alias("n_notices"),
+    )
+    joined = docs.select(id_column).join(by_doc, id_column, "left")
+    return joined.select(id_column, "licence_id", F.coalesce("notices", F.lit("")).alias("notices"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document's entire text, and the notices in it."""
+    return report(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+
+
+def _sql() -> str:
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    known = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in KNOWN)
+    spelled = "x"
+    for pattern, to in SPELLINGS:
+        spelled = f"regexp_replace({spelled}, {quote(pattern)}, {quote(to.replace('$1', chr(92) + '1'))}, 'g')"
+    copyright_ = quote(COPYRIGHT_LINE.replace("\\u00a9", "©"))
+    return f"""
+WITH src AS (SELECT 'd' AS kind, doc_id::VARCHAR AS id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents
+  UNION ALL SELECT 'k', licence_id, -row_number() OVER (), t FROM (VALUES {known}) v(licence_id, t)),
+l0 AS (SELECT kind, id, r, string_split(t, chr(10)) AS ls FROM src),
+l1 AS (SELECT kind, id, r, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM l0),
+l2 AS (SELECT *, lower(line) AS x, NOT regexp_matches(line, '\\S') AS blank FROM l1),
+l3 AS (SELECT kind, id, r, i, blank, CASE WHEN regexp_matches(x, {copyright_}) THEN '' ELSE trim(regexp_replace({spelled}, '[\\p{{P}}\\p{{S}}\\p{{Z}}\\p{{C}}]+', ' ', 'g')) END AS c FROM l2),
+l4 AS (SELECT *, sum((NOT blank AND before)::INT) OVER (PARTITION BY r ORDER BY i) AS p FROM (SELECT *, coalesce(lag(blank) OVER (PARTITION BY r ORDER BY i), true) AS before FROM l3)),
+units AS (
+  SELECT kind, id, r, 'line' AS scope, i AS pos, c FROM l3
+  UNION ALL SELECT kind, id, r, 'paragraph', min(i) FILTER (NOT blank), string_agg(c, ' ' ORDER BY i) FILTER (c <> '') FROM l4 WHERE p > 0 GROUP BY kind, id, r, p
+  UNION ALL SELECT kind, id, r, 'text', 0, string_agg(c, ' ' ORDER BY i) FILTER (c <> '') FROM l3 GROUP BY kind, id, r),
+known AS (SELECT c, min(id) AS licence_id FROM units WHERE kind = 'k' AND scope = 'text' AND c <> '' GROUP BY c),
+hits AS (SELECT DISTINCT r, scope, pos, licence_id FROM units JOIN known USING (c) WHERE kind = 'd'),
+by_doc AS (SELECT r, max(licence_id) FILTER (scope = 'text') AS licence_id, array_to_string(list_sort(list_distinct(list(licence_id))), ',') AS notices, count(*) FILTER (scope = 'line') AS n_notices FROM hits GROUP BY r)
+SELECT id::BIGINT AS doc_id, licence_id, coalesce(notices, '') AS notices, coalesce(n_notices, 0) AS n_notices
+FROM (SELECT r, id FROM src WHERE kind = 'd') LEFT JOIN by_doc USING (r)"""
+
+
+ORACLE_SQL = _sql()
