@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name -> the module of this package that has a function of that name
 #: and, where SQL can express the query, ``ORACLE_SQL``.
 _MODULES = {
+    "op1_ngram_join": "ngram_join",
     "op5_preference_format": "preference_format",
     "op7_quality_rules": "quality_rules",
     "op8_byte_bpe": "bpe",
