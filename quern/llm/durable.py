@@ -8,6 +8,7 @@ remembered in the session, so it is never a task's temporary folder.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,9 +31,20 @@ def durable(df: DataFrame, name: str, sort_by: list[str] | None = None) -> DataF
     if sort_by:
         df = df.sortWithinPartitions(*sort_by)
     df.write.parquet(path)
+    release_shuffles(spark)
     return spark.read.schema(schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now.
+
+    Spark's cleaner deletes them when the driver's collector finds their plans
+    unreachable; a driver with little to do may not collect for a long time.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_durable(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`durable` that nothing reads any more."""
     spark = df.sparkSession

@@ -228,6 +228,9 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     )
     central = F.aggregate("x", F.lit(0).cast("long"), lambda s, t: s + t["df"]) / F.col("n")
     entries = durable(ranked.select("doc_id", "n", central.alias("c"), F.explode(F.slice("x", F.lit(1), F.col("take"))["h"]).alias("h")), "ngram-entries")
+    member = durable(signed.select("doc_id", *same_set).join(groups, same_set, "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("node")), "ngram-members")
+    drop_durable(signed)
+    drop_durable(groups)
 
     top = F.max(F.struct("c", (-F.col("doc_id")).alias("d"), "n"))
     pivots = entries.groupBy("h").agg(F.count(F.lit(1)).alias("k"), top.alias("top")).where("k > 1")
@@ -250,9 +253,10 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     split = rest.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("h")
     open_entries = rest.join(split, "h", "left_semi").join(light, "doc_id")
     more = durable(_links(_block_pairs(open_entries, percent), full, percent), "ngram-links")
-    labels2 = components(links.union(more))
+    labels2 = durable(components(links.union(more)), "ngram-labels")
 
-    member = signed.select("doc_id", *same_set).join(groups, same_set, "left").withColumn("node", F.coalesce("rep", "doc_id"))
+    for table in (entries, pivots, full):
+        drop_durable(table)
     out = member.join(labels2, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
 

@@ -15,6 +15,7 @@ _MODULES = {
     "op5_preference_format": "preference_format",
     "op7_quality_rules": "quality_rules",
     "op8_byte_bpe": "bpe",
+    "op9_decontaminate": "decontaminate",
     "op10_license_scan": "license_scan",
 }
 
