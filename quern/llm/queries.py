@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: and, where SQL can express the query, ``ORACLE_SQL``.
 _MODULES = {
     "op1_ngram_join": "ngram_join",
+    "op2_line_dedup": "line_dedup",
     "op4_quality_classifier": "quality_classifier",
     "op5_preference_format": "preference_format",
     "op7_quality_rules": "quality_rules",
