@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 _MODULES = {
     "op1_ngram_join": "ngram_join",
     "op2_line_dedup": "line_dedup",
+    "op3_pii": "pii",
     "op4_quality_classifier": "quality_classifier",
     "op5_preference_format": "preference_format",
     "op7_quality_rules": "quality_rules",
