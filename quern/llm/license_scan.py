@@ -7,7 +7,7 @@ text, each paragraph and each line, so that a notice inside a longer document is
 found by the same join.  Digests are joined by hash with those of the known
 licences; nothing compares texts pairwise.
 
-Normalising works on lines: a paragraph's canonical form is its lines' forms
+Normalising keeps line ends; a paragraph's canonical form is its lines' forms
 joined by a space, and so is the entire text's.  All of it is DataFrame
 expressions, one pass over the text, and only digests reach the join.
 
@@ -80,54 +80,50 @@ SPELLINGS = [
     (r"\bper cent\b", "percent"),
 ]
 #: Lines that state a copyright; they differ between copies of one licence.
-COPYRIGHT_LINE = r"^[^a-z0-9]*((\(c\)|©|copyright\s+(\(c\)|©|[0-9]{4}|by\b)).*|all rights reserved[^a-z0-9]*)$"
+COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*((\(c\)|©|copyright[ \t]+(\(c\)|©|[0-9]{4}|by\b))[^\n]*|all rights reserved[^a-z0-9\n]*)$"
+#: What becomes one space; line ends stay.
+BETWEEN = r"[\p{P}\p{S}\p{Z}\p{C}&&[^\n]]+"
 
 
-def canonical_line(line: Column) -> Column:
-    """One line in canonical form; '' for a copyright line or one without letters and digits."""
-    x = F.lower(line)
-    copyright_ = x.rlike(COPYRIGHT_LINE)
+def canonical(text: Column) -> Column:
+    """The text in canonical form, line by line; lines without letters and digits are empty or a space."""
+    x = F.lower(F.coalesce(text, F.lit("")))
     spelled = x
     for pattern, to in SPELLINGS:
         spelled = F.regexp_replace(spelled, pattern, to)
-    # Most lines hold none of the words that have other spellings.
-    x = F.when(x.rlike(r"licen|commercial|infring|merchant|copyright|http:|per cent"), spelled).otherwise(x)
-    x = F.trim(F.regexp_replace(x, r"[\p{P}\p{S}\p{Z}\p{C}]+", " "))
-    return F.when(copyright_, F.lit("")).otherwise(x)
+    # Most texts hold none of the words that have other spellings, and none about copyright.
+    words = ("licen", "commercial", "infring", "merchant", "copyright", "http:", "per cent")
+    some = F.lit(False)
+    for w in words:
+        some |= x.contains(w)
+    stated = x.contains("copyright") | x.contains("all rights reserved") | x.contains("(c)") | x.contains("©")
+    plain = F.when(some, spelled).otherwise(x)
+    plain = F.when(stated, F.regexp_replace(plain, COPYRIGHT_LINE, "")).otherwise(plain)
+    return F.regexp_replace(plain, BETWEEN, " ")
 
 
 def _digests(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """``keep`` columns and ``_units``: array of (scope, at, digest) of the entire text, paragraphs and lines."""
-    lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), canonical_line)
-    out = docs.select(*keep, lines.alias("_lines"), F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: ~x.rlike(r"\S")).alias("_blank"))
-    full = F.filter("_lines", lambda x: x != "")
-    ls, blank = F.col("_lines"), F.col("_blank")
-    # A paragraph begins at a line with text that has a blank line or nothing before it.
-    begins = F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: ~blank[i] & ((i == 0) | F.get(blank, i - 1)))
-    out = out.select(*keep, "_lines", "_blank", full.alias("_full"), begins.alias("_begins"))
-    n = F.size(F.col("_lines"))
-    begins, ls = F.col("_begins"), F.col("_lines")
+    """``keep`` columns and ``_units``: array of (scope, at, digest) of the entire text, its paragraphs and its lines.
+
+    A paragraph is a run of lines that aren't empty in canonical form; ``at``
+    numbers the units of a scope from 0.
+    """
+    out = docs.select(*keep, canonical(F.col(text)).alias("_c"))
+    c = F.col("_c")
+    flat = lambda x: F.trim(F.regexp_replace(x, "[ \n]+", " "))
 
     def unit(scope: str, at: Column, x: Column) -> Column:
         return F.struct(F.lit(scope).alias("scope"), at.cast("int").alias("at"), F.when(x != "", F.sha2(x, 256)).alias("digest"))
 
-    entire = F.array(unit("text", F.lit(0), F.array_join("_full", " ")))
-    single = F.transform(ls, lambda x, i: unit("line", i, x))
-    paragraphs = F.transform(
-        begins,
-        lambda b, k: unit(
-            "paragraph",
-            b,
-            F.array_join(F.filter(F.slice(ls, b + 1, F.coalesce(F.get(begins, k + 1), n) - b), lambda x: x != ""), " "),
-        ),
-    )
-    units = F.filter(F.concat(entire, paragraphs, single), lambda u: u["digest"].isNotNull())
-    return out.select(*keep, units.alias("_units"))
+    out = out.select(*keep, F.array(unit("text", F.lit(0), flat(c))).alias("_t"), F.transform(F.split(c, r"\n *(\n *)+"), flat).alias("_p"), F.transform(F.split(c, "\n"), lambda x: F.trim(x)).alias("_l"))
+    paragraphs = F.transform(F.filter("_p", lambda x: x != ""), lambda x, i: unit("paragraph", i, x))
+    single = F.transform("_l", lambda x, i: unit("line", i, x))
+    return out.select(*keep, F.concat("_t", paragraphs, single).alias("_units"))
 
 
 def known_digests(known: DataFrame) -> DataFrame:
     """licence_id, digest (unique) of licences given as (licence_id, text)."""
-    found = _digests(known, "text", ["licence_id"]).select("licence_id", F.explode("_units").alias("u")).where("u.scope = 'text'")
+    found = _digests(known, "text", ["licence_id"]).select("licence_id", F.explode_outer("_units").alias("u")).where("u.scope = 'text' AND u.digest IS NOT NULL")
     return found.groupBy(F.col("u.digest").alias("digest")).agg(F.min("licence_id").alias("licence_id"))
 
 
@@ -136,10 +132,11 @@ def default_known(spark: SparkSession) -> DataFrame:
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per matched unit: doc_id, scope (text, paragraph, line), at (line number), licence_id."""
+    """One row per matched unit: doc_id, scope (text, paragraph, line), at (its number within the scope), licence_id."""
     known = known_digests(known if known is not None else default_known(docs.sparkSession))
-    units = _digests(docs, text, [id_column]).select(id_column, F.explode("_units").alias("u"))
-    return units.select(id_column, "u.*").join(known, "digest").select(id_column, "scope", "at", "licence_id")
+    # Not explode(): its implied filter on the array would have all of it computed twice.
+    units = _digests(docs, text, [id_column]).select(id_column, F.explode_outer("_units").alias("u"))
+    return units.where("u.digest IS NOT NULL").select(id_column, "u.*").join(known, "digest").select(id_column, "scope", "at", "licence_id")
 
 
 def report(docs: DataFrame, known: DataFrame | None = None, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -162,21 +159,19 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in KNOWN)
-    spelled = "x"
+    spelled = "lower(t)"
     for pattern, to in SPELLINGS:
         spelled = f"regexp_replace({spelled}, {quote(pattern)}, {quote(to.replace('$1', chr(92) + '1'))}, 'g')"
-    copyright_ = quote(COPYRIGHT_LINE.replace("\\u00a9", "©"))
     return f"""
 WITH src AS (SELECT 'd' AS kind, doc_id::VARCHAR AS id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents
   UNION ALL SELECT 'k', licence_id, -row_number() OVER (), t FROM (VALUES {known}) v(licence_id, t)),
-l0 AS (SELECT kind, id, r, string_split(t, chr(10)) AS ls FROM src),
-l1 AS (SELECT kind, id, r, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM l0),
-l2 AS (SELECT *, lower(line) AS x, NOT regexp_matches(line, '\\S') AS blank FROM l1),
-l3 AS (SELECT kind, id, r, i, blank, CASE WHEN regexp_matches(x, {copyright_}) THEN '' ELSE trim(regexp_replace({spelled}, '[\\p{{P}}\\p{{S}}\\p{{Z}}\\p{{C}}]+', ' ', 'g')) END AS c FROM l2),
-l4 AS (SELECT *, sum((NOT blank AND before)::INT) OVER (PARTITION BY r ORDER BY i) AS p FROM (SELECT *, coalesce(lag(blank) OVER (PARTITION BY r ORDER BY i), true) AS before FROM l3)),
+c0 AS (SELECT kind, id, r, regexp_replace(regexp_replace({spelled}, {quote(COPYRIGHT_LINE)}, '', 'g'), '([\\p{{P}}\\p{{S}}\\p{{Z}}]|[^\\P{{C}}\\n])+', ' ', 'g') AS c FROM src),
+l0 AS (SELECT kind, id, r, string_split(c, chr(10)) AS ls FROM c0),
+l3 AS (SELECT kind, id, r, unnest(range(len(ls))) AS i, trim(unnest(ls)) AS c FROM l0),
+l4 AS (SELECT *, sum((c <> '' AND before = '')::INT) OVER (PARTITION BY r ORDER BY i) AS p FROM (SELECT *, coalesce(lag(c) OVER (PARTITION BY r ORDER BY i), '') AS before FROM l3)),
 units AS (
   SELECT kind, id, r, 'line' AS scope, i AS pos, c FROM l3
-  UNION ALL SELECT kind, id, r, 'paragraph', min(i) FILTER (NOT blank), string_agg(c, ' ' ORDER BY i) FILTER (c <> '') FROM l4 WHERE p > 0 GROUP BY kind, id, r, p
+  UNION ALL SELECT kind, id, r, 'paragraph', p, string_agg(c, ' ' ORDER BY i) FILTER (c <> '') FROM l4 WHERE p > 0 GROUP BY kind, id, r, p
   UNION ALL SELECT kind, id, r, 'text', 0, string_agg(c, ' ' ORDER BY i) FILTER (c <> '') FROM l3 GROUP BY kind, id, r),
 known AS (SELECT c, min(id) AS licence_id FROM units WHERE kind = 'k' AND scope = 'text' AND c <> '' GROUP BY c),
 hits AS (SELECT DISTINCT r, scope, pos, licence_id FROM units JOIN known USING (c) WHERE kind = 'd'),

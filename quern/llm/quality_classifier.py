@@ -191,19 +191,30 @@ def _kth_key(keys: DataFrame, k: int) -> tuple[int, int]:
     return low, k - above
 
 
-def resample(scored: DataFrame, k: int | None = None, id_column: str = "doc_id", seed: int = 7) -> DataFrame:
-    """``scored`` (with log_weight) and ``kept``: drawn by Gumbel top-k; equal keys by id, then by a hash of the log weight."""
-    keyed = scored.withColumn("key", gumbel_key(F.col("log_weight"), F.col(id_column), seed))
-    if k is None:
-        k = keyed.where(F.col("log_weight") >= CLEAN).count()
+def threshold(scored: DataFrame, k: int | None = None, id_column: str = "doc_id", seed: int = 7) -> tuple[int, int | None]:
+    """The last of the k largest keys and the last id that is drawn with just that key (None: all)."""
+    keyed = scored.select(id_column, "log_weight", gumbel_key(F.col("log_weight"), F.col(id_column), seed).alias("key"))
+    every, clean = keyed.agg(F.count(F.lit(1)), F.count_if(F.col("log_weight") >= CLEAN)).first()
+    k = clean if k is None else k
     if k <= 0:
-        return keyed.withColumn("kept", F.lit(False)).drop("key")
-    if k >= keyed.count():
-        return keyed.withColumn("kept", F.lit(True)).drop("key")
+        return 1 << 62, None
+    if k >= every:
+        return -(1 << 62), None
     key, ties = _kth_key(keyed.select("key"), k)
     last = keyed.where(F.col("key") == key).select(id_column).orderBy(F.col(id_column).asc_nulls_first()).limit(ties).agg(F.max(id_column).alias("i")).first()["i"]
-    among = F.col("key") > key if last is None else (F.col("key") > key) | ((F.col("key") == key) & (F.coalesce(F.col(id_column), F.lit(last)) <= last))
-    return keyed.withColumn("kept", among).drop("key")
+    return key, last
+
+
+def drawn(scored: DataFrame, cut: tuple[int, int | None], id_column: str = "doc_id", seed: int = 7) -> Column:
+    """Whether a row of a scored table is drawn; needs no join, so texts may ride along."""
+    key, last = gumbel_key(F.col("log_weight"), F.col(id_column), seed), cut[1]
+    tied = F.lit(True) if last is None else F.coalesce(F.col(id_column), F.lit(last)) <= last
+    return (key > cut[0]) | ((key == cut[0]) & tied)
+
+
+def resample(scored: DataFrame, k: int | None = None, id_column: str = "doc_id", seed: int = 7) -> DataFrame:
+    """``scored`` (with log_weight) and ``kept``: drawn by Gumbel top-k; equal keys by id."""
+    return scored.withColumn("kept", drawn(scored, threshold(scored, k, id_column, seed), id_column, seed))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
