@@ -15,6 +15,7 @@ _MODULES = {
     "op3_pii": "pii",
     "op4_quality_classifier": "quality_classifier",
     "op5_preference_format": "preference_format",
+    "op6_substring_dedup": "substring_dedup",
     "op7_quality_rules": "quality_rules",
     "op8_byte_bpe": "bpe",
     "op9_decontaminate": "decontaminate",
