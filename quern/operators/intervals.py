@@ -1,0 +1,98 @@
+"""Half-open intervals [start, limit): overlap join, existence, hull, union.
+
+Overlap predicates alone plan as a nested loop.  Here each interval gets a level
+by its length (widths grow by ``RATIO``), so that it touches at most two buckets
+of its own level and of every coarser one; two intervals meet once, at the
+coarser of their levels, in the bucket that holds the later start.  That is an
+equi-join on (level, bucket) whatever the lengths, and duplicates stay.
+Empty intervals (start >= limit) overlap nothing.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+RATIO = 8
+LEVELS = 8
+
+
+def intersects(start: Column, limit: Column, other_start: Column, other_limit: Column) -> Column:
+    return (limit > other_start) & (other_limit > start)
+
+
+def intersection(start: Column, limit: Column, other_start: Column, other_limit: Column) -> Column:
+    """struct<start, limit>; empty where the two don't meet."""
+    return F.struct(F.greatest(start, other_start).alias("start"), F.least(limit, other_limit).alias("limit"))
+
+
+def is_empty(start: Column, limit: Column) -> Column:
+    return start >= limit
+
+
+def span(start: Column, limit: Column, other_start: Column, other_limit: Column) -> Column:
+    """Hull of two intervals; an empty one doesn't count."""
+    own, other = F.struct(start.alias("start"), limit.alias("limit")), F.struct(other_start.alias("start"), other_limit.alias("limit"))
+    hull = F.struct(F.least(start, other_start).alias("start"), F.greatest(limit, other_limit).alias("limit"))
+    return F.when(is_empty(other_start, other_limit), own).when(is_empty(start, limit), other).otherwise(hull)
+
+
+def _leveled(df: DataFrame, start: str, limit: str, width: int, mark: str) -> DataFrame:
+    """A row for each level and bucket that an interval touches, from its own level up."""
+    length = F.col(limit) - F.col(start)
+    own = F.lit(0)
+    for k in range(1, LEVELS):
+        own = F.when(length > width * RATIO ** (k - 1), F.lit(k)).otherwise(own)
+    df = df.where(F.col(start) < F.col(limit)).withColumn(f"_own_{mark}", own)
+    df = df.withColumn("_level", F.explode(F.sequence(F.col(f"_own_{mark}"), F.lit(LEVELS - 1))))
+    size = F.element_at(F.array(*(F.lit(width * RATIO**k).cast("long") for k in range(LEVELS))), F.col("_level") + 1)
+    first, last = F.floor(F.col(start) / size), F.floor((F.col(limit) - 1) / size)
+    return df.withColumn("_bucket", F.explode(F.sequence(first, last))).withColumn(f"_first_{mark}", first)
+
+
+def overlap_join(a: DataFrame, b: DataFrame, a_start: str, a_limit: str, b_start: str, b_limit: str, width: int = 64) -> DataFrame:
+    """All pairs of rows whose intervals meet, once each; column names of a and b have to differ."""
+    x = _leveled(a, a_start, a_limit, width, "a")
+    y = _leveled(b, b_start, b_limit, width, "b")
+    joined = x.join(y, ["_level", "_bucket"])
+    once = (F.col("_level") == F.greatest("_own_a", "_own_b")) & (F.col("_bucket") == F.greatest("_first_a", "_first_b"))
+    return joined.where(once & intersects(F.col(a_start), F.col(a_limit), F.col(b_start), F.col(b_limit))).select(*a.columns, *b.columns)
+
+
+def compact(df: DataFrame, start: str, limit: str, keys: list[str] | None = None, width: int = 1 << 16) -> DataFrame:
+    """keys, start, limit of the union's maximal intervals; touching ones merge.
+
+    Without keys the line is cut into stretches that are compacted first, so the
+    single ordered pass at the end sees few rows of each.
+    """
+    rows = df.where(F.col(start) < F.col(limit)).select(*(keys or []), F.col(start).alias("start"), F.col(limit).alias("limit"))
+    if keys:
+        return _islands(rows, keys)
+    parts = rows.withColumn("_stretch", F.floor(F.col("start") / width))
+    return _islands(_islands(parts, ["_stretch"]).drop("_stretch").withColumn("_all", F.lit(0)), ["_all"]).drop("_all")
+
+
+def _islands(rows: DataFrame, keys: list[str]) -> DataFrame:
+    order = Window.partitionBy(*keys).orderBy("start", "limit")
+    reach = F.max("limit").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0)
+    marked = rows.withColumn("_fresh", fresh).withColumn("_island", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return marked.groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("limit").alias("limit")).drop("_island")
+
+
+def covered_length(df: DataFrame, start: str, limit: str, keys: list[str] | None = None) -> DataFrame:
+    """keys, covered: length of the union of intervals."""
+    return compact(df, start, limit, keys).groupBy(*(keys or [])).agg(F.coalesce(F.sum(F.col("limit") - F.col("start")), F.lit(0)).alias("covered"))
+
+
+def exists(a: DataFrame, b: DataFrame, a_start: str, a_limit: str, b_start: str, b_limit: str, id_column: str, width: int = 64) -> DataFrame:
+    """Rows of a that meet any interval of b; b is reduced to its union first."""
+    union = compact(b, b_start, b_limit).select(F.col("start").alias("_s"), F.col("limit").alias("_l"))
+    hit = overlap_join(a.select(id_column, a_start, a_limit), union, a_start, a_limit, "_s", "_l", width).select(id_column).distinct()
+    return a.join(hit, id_column, "left_semi")
+
+
+def hull(df: DataFrame, start: str, limit: str, keys: list[str] | None = None) -> DataFrame:
+    """keys, start, limit: least start and greatest limit of the intervals that aren't empty."""
+    rows = df.where(F.col(start) < F.col(limit))
+    return rows.groupBy(*(keys or [])).agg(F.min(start).alias("start"), F.max(limit).alias("limit"))
