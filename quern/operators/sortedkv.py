@@ -50,11 +50,16 @@ def item_locations(df: DataFrame, per_block: int, order: list[str], keys: list[s
     return df.withColumn("_at", at).withColumn("block", F.floor(F.col("_at") / per_block)).withColumn("item", (F.col("_at") % per_block).cast("int")).drop("_at")
 
 
+# A record file's chunk, and what its header leaves for payload.
+CHUNK_BYTES, CHUNK_PAYLOAD = 32 << 10, (32 << 10) - 28
+VARINT_BYTES = 10
+
+
 def packed_size_bound(n_items: Column, n_bytes: Column, record_size: int) -> Column:
-    """Upper bound of the bytes that packed records of ``record_size`` items take on disk.
+    """Upper bound of the bytes of a record file with ``n_items`` of ``n_bytes`` together, cut into records of ``record_size`` bytes.
 
-    Each record has a 20-byte header of its chunk, its items' lengths as varints
-    of at most 10 bytes, a checksum of 4 and a count of at most 10.
+    Works on columns, so ``count(*)`` and ``sum(length)`` of any grouping do.
     """
-    records = F.ceil(n_items / record_size)
-    return (n_bytes + n_items * 10 + records * (20 + 4 + 10)).cast("long")
+    chunks = -(-record_size // CHUNK_PAYLOAD)
+    payload = (n_items + 1) * VARINT_BYTES + n_bytes
+    return ((F.ceil(payload / record_size) * chunks + 2) * CHUNK_BYTES).cast("long")
