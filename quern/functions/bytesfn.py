@@ -242,7 +242,7 @@ def _interval_mask(j: Column, start: Column, limit: Column) -> Column:
     """Bits of word j in [start, limit)."""
     low = F.greatest(start - j * 64, F.lit(0)).cast("int")
     high = F.least(limit - j * 64, F.lit(64)).cast("int")
-    below = lambda k: F.when(k >= 64, F.lit(-1).cast("long")).otherwise(_bit(k) - 1)
+    below = lambda k: F.when(k <= 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), 64 - k))
     return F.when(high > low, below(high).bitwiseAND(F.bitwise_not(below(low)))).otherwise(F.lit(0).cast("long"))
 
 

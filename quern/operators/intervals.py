@@ -37,26 +37,49 @@ def span(start: Column, limit: Column, other_start: Column, other_limit: Column)
     return F.when(is_empty(other_start, other_limit), own).when(is_empty(start, limit), other).otherwise(hull)
 
 
-def _leveled(df: DataFrame, start: str, limit: str, width: int, mark: str) -> DataFrame:
-    """A row for each level and bucket that an interval touches, from its own level up."""
+def _own_level(start: str, limit: str, width: int) -> Column:
     length = F.col(limit) - F.col(start)
     own = F.lit(0)
     for k in range(1, LEVELS):
         own = F.when(length > width * RATIO ** (k - 1), F.lit(k)).otherwise(own)
-    df = df.where(F.col(start) < F.col(limit)).withColumn(f"_own_{mark}", own)
-    df = df.withColumn("_level", F.explode(F.sequence(F.col(f"_own_{mark}"), F.lit(LEVELS - 1))))
+    return own
+
+
+def _used_levels(df: DataFrame) -> list[int]:
+    """The levels that occur in ``_own``; one aggregated row."""
+    bits = df.agg(F.bit_or(F.pow(F.lit(2), F.col("_own")).cast("int"))).first()[0] or 0
+    return [k for k in range(LEVELS) if bits >> k & 1]
+
+
+def _placed(df: DataFrame, start: str, limit: str, width: int, levels: Column, first: str) -> DataFrame:
+    """A row for each of ``levels`` and bucket there that an interval touches."""
+    df = df.withColumn("_level", F.explode(levels))
     size = F.element_at(F.array(*(F.lit(width * RATIO**k).cast("long") for k in range(LEVELS))), F.col("_level") + 1)
-    first, last = F.floor(F.col(start) / size), F.floor((F.col(limit) - 1) / size)
-    return df.withColumn("_bucket", F.explode(F.sequence(first, last))).withColumn(f"_first_{mark}", first)
+    begin, end = F.floor(F.col(start) / size), F.floor((F.col(limit) - 1) / size)
+    return df.withColumn("_bucket", F.explode(F.sequence(begin, end))).withColumn(first, begin).drop("_own")
 
 
 def overlap_join(a: DataFrame, b: DataFrame, a_start: str, a_limit: str, b_start: str, b_limit: str, width: int = 64) -> DataFrame:
     """All pairs of rows whose intervals meet, once each; column names of a and b have to differ."""
-    x = _leveled(a, a_start, a_limit, width, "a")
-    y = _leveled(b, b_start, b_limit, width, "b")
-    joined = x.join(y, ["_level", "_bucket"])
-    once = (F.col("_level") == F.greatest("_own_a", "_own_b")) & (F.col("_bucket") == F.greatest("_first_a", "_first_b"))
-    return joined.where(once & intersects(F.col(a_start), F.col(a_limit), F.col(b_start), F.col(b_limit))).select(*a.columns, *b.columns)
+    x = a.where(F.col(a_start) < F.col(a_limit)).withColumn("_own", _own_level(a_start, a_limit, width))
+    y = b.where(F.col(b_start) < F.col(b_limit)).withColumn("_own", _own_level(b_start, b_limit, width))
+    of_x, of_y = _used_levels(x), _used_levels(y)
+    own = F.array("_own")
+
+    def up(levels: list[int], strictly: bool) -> Column:
+        every = F.array(*map(F.lit, levels)).cast("array<int>")
+        return F.filter(every, lambda k: k > F.col("_own") if strictly else k >= F.col("_own"))
+
+    met = None
+    for xs, ys in ((own, up(of_x, False)), (up(of_y, True), own)):  # a's level is the coarser, or b's
+        left = _placed(x, a_start, a_limit, width, xs, "_first_a")
+        right = _placed(y, b_start, b_limit, width, ys, "_first_b")
+        both = left.join(right, ["_level", "_bucket"]).where(
+            (F.col("_bucket") == F.greatest("_first_a", "_first_b")) & intersects(F.col(a_start), F.col(a_limit), F.col(b_start), F.col(b_limit))
+        )
+        both = both.select(*a.columns, *b.columns)
+        met = both if met is None else met.unionByName(both)
+    return met
 
 
 def compact(df: DataFrame, start: str, limit: str, keys: list[str] | None = None, width: int = 1 << 16) -> DataFrame:

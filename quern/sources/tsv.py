@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,9 +54,9 @@ def parse_value(s: Column, kind: T.DataType, fmt: str | None = None, unsigned: i
     else:
         n = parse_int(s)
     if unsigned:
-        return F.when((n >= 0) & (n < F.lit(1 << unsigned).cast("decimal(38,0)")), n).cast("decimal(20,0)" if unsigned == 64 else kind)
+        return F.when((n >= 0) & (n < F.lit(Decimal(1 << unsigned))), n).cast("decimal(20,0)" if unsigned == 64 else kind)
     bits = _RANGE[kind] - 1
-    return F.when((n >= F.lit(-(1 << bits)).cast("decimal(38,0)")) & (n < F.lit(1 << bits).cast("decimal(38,0)")), n).cast(kind)
+    return F.when((n >= F.lit(Decimal(-(1 << bits)))) & (n < F.lit(Decimal(1 << bits))), n).cast(kind)
 
 
 def read_tsv(

@@ -50,9 +50,10 @@ def restore(log: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
     Updates of another epoch than their snapshot's are an error.
     """
-    keys = keys or []
+    if not keys:
+        return restore(log.withColumn("_log", F.lit(0)), ["_log"]).drop("_log")
     last = log.where(F.col("typ") == SNAPSHOT).groupBy(*keys).agg(F.max("off").alias("_from"), F.max_by("epoch", "off").alias("_epoch"))
-    joined = log.join(last, keys) if keys else log.crossJoin(F.broadcast(last))  # one row
+    joined = log.join(last, keys)
     wrong = F.raise_error(F.lit("an update's epoch isn't its snapshot's")).cast("long")
     tail = joined.where(F.col("off") >= F.col("_from"))
     return tail.withColumn("epoch", F.when(F.col("epoch") == F.col("_epoch"), F.col("epoch")).otherwise(wrong)).drop("_from", "_epoch")
