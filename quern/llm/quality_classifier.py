@@ -164,7 +164,7 @@ def score(docs: DataFrame, ratio: np.ndarray, text: str = "text", log_weight: st
         model = shared.value
         for batch in pieces(batches, text, 4 << 20):
             doc, bucket, _ = features(batch.column(text))
-            total = np.round(np.bincount(doc, weights=model[bucket], minlength=batch.num_rows), 9)
+            total = np.round(np.bincount(doc, weights=model[bucket], minlength=batch.num_rows).astype(np.float64), 9)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in out), pa.array(total)], names=[*out, log_weight])
 
     return docs.mapInArrow(work, schema)
