@@ -42,8 +42,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_chars, the ids of the whole text, and the digest of what they decode to."""
-    ids = bpe.encode(docs)
-    counted = bpe.decode(ids).withColumn("n_tokens", F.size("ids").cast("long")).withColumn("decoded_sha256", F.sha2("decoded", 256))
+    ids = bpe.encode(docs, decoded="decoded")
+    counted = ids.withColumn("n_tokens", F.size("ids").cast("long")).withColumn("decoded_sha256", F.sha2("decoded", 256))
     return counted.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", "decoded_sha256")
 
 

@@ -36,7 +36,7 @@ from .textkernels import VALUES, column_bytes, lists, mix, pieces, power_tables
 
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Pieces that a worker remembers before it starts afresh; bounds its memory.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 150_000
 #: Pieces of up to this many bytes are merged in matrices.
 MATRIX_BYTES = 64
 NONE = np.int64(1 << 62)
@@ -366,6 +366,10 @@ class Vocabulary:
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
+    def decode_each(self, column: pa.ListArray) -> list[bytes]:
+        starts, flat = column.offsets.to_numpy(), column.values.to_numpy()
+        return [self.decode(flat[a:b]) for a, b in zip(starts, starts[1:], strict=False)]
+
 
 _loaded: dict[str, Vocabulary] = {}
 
@@ -392,18 +396,26 @@ def _with_column(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*(f for f in df.schema.fields if f.name != name), T.StructField(name, kind)])
 
 
-def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """``df`` without ``text``, with ``ids`` (array<int>) of each whole text; see the module for special cases."""
+def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, pattern: str | None = None, decoded: str | None = None) -> DataFrame:
+    """``df`` without ``text``, with ``ids`` (array<int>) of each whole text; see the module for special cases.
+
+    With a name for ``decoded``, the ids are also decoded to bytes in the same
+    task, which spares it a second Python worker.
+    """
     raw, pattern = _defaults(path, pattern)
     shared = df.sparkSession.sparkContext.broadcast(raw)
-    out = [c for c in df.columns if c not in (text, ids)]
-    schema = T.StructType([*(df.schema[c] for c in out), T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    out = [c for c in df.columns if c not in (text, ids, decoded)]
+    made = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.BinaryType())] if decoded else [])
+    schema = T.StructType([*(df.schema[c] for c in out), *made])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(shared.value, pattern)
-        for batch in pieces(batches, text):
+        for batch in pieces(batches, text, 2 << 20):
             flat, n = vocabulary.encode(*column_bytes(batch.column(text)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in out), lists(flat, n, pa.int32())], names=[*out, ids])
+            columns = [*(batch.column(c) for c in out), lists(flat, n, pa.int32())]
+            if decoded:
+                columns.append(pa.array(vocabulary.decode_each(columns[-1]), pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return df.mapInArrow(work, schema)
 
@@ -417,10 +429,7 @@ def decode(df: DataFrame, ids: str = "ids", decoded: str = "decoded", path: str
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(shared.value, pattern)
         for batch in batches:
-            column = batch.column(ids)
-            starts = column.offsets.to_numpy()
-            flat = column.values.to_numpy()
-            texts = [vocabulary.decode(flat[a:b]) for a, b in zip(starts, starts[1:], strict=False)]
+            texts = vocabulary.decode_each(batch.column(ids))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in out), pa.array(texts, pa.binary())], names=[*out, decoded])
 
     return df.mapInArrow(work, _with_column(df, decoded, T.BinaryType()))

@@ -77,7 +77,7 @@ def sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
 
 def _signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", 2 << 20):
             each = list(sets(batch.column("text"), width))
             n = np.array([len(s) for s in each], np.int64)
             one = [int(mix(s, 1).sum(dtype=np.uint64)) for s in each]
@@ -102,7 +102,7 @@ def _full_sets(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, classes (counts of tokens per hash class, uint16, at most 65535), tokens (sorted uint64)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", 2 << 20):
             each = list(sets(batch.column("text"), width))
             counts = [np.minimum(np.bincount((s & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES), 65535).astype(np.uint16).tobytes() for s in each]
             yield pa.RecordBatch.from_arrays(

@@ -86,7 +86,7 @@ def _bucket_counts(docs: DataFrame, text: str) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 * BUCKETS, np.int64)
-        for batch in pieces(batches, text, 4 << 20):
+        for batch in pieces(batches, text, 1 << 20):
             total += np.bincount(features(batch.column(text))[1], minlength=2 * BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
@@ -98,7 +98,7 @@ def _labelled_features(docs: DataFrame) -> DataFrame:
     """doc_id, good, least, buckets of labelled documents (doc_id, good, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", 1 << 20):
             doc, bucket, least = features(batch.column("text"))
             counts = np.bincount(doc, minlength=batch.num_rows)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
@@ -162,7 +162,7 @@ def score(docs: DataFrame, ratio: np.ndarray, text: str = "text", log_weight: st
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in pieces(batches, text, 4 << 20):
+        for batch in pieces(batches, text, 1 << 20):
             doc, bucket, _ = features(batch.column(text))
             total = np.round(np.bincount(doc, weights=model[bucket], minlength=batch.num_rows).astype(np.float64), 9)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in out), pa.array(total)], names=[*out, log_weight])
