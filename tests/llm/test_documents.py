@@ -170,6 +170,25 @@ def test_repeated_passages(spark):
     assert substring_dedup.repeated_passages(docs_of(spark, texts).where("false")).count() == 0
 
 
+def test_passages_whose_leader_holds_half(spark):
+    r = random.Random(16)
+    texts = []
+    for _ in range(30):
+        passage, fill = words_of(r, 50, 10**6), lambda n: words_of(r, n, 10**6)
+        texts += [" ".join(fill(80) + passage[:25] + fill(80)), " ".join(fill(60) + passage + fill(60)), " ".join(fill(90) + passage + fill(30))]
+    out = substring_dedup.repeated_passages(docs_of(spark, texts)).collect()
+    assert {(x["doc_id"], x["other_id"]) for x in out} == {(3 * i + 2, 3 * i + 1) for i in range(30)}
+
+
+def test_passages_behind_several_leaders(spark):
+    r = random.Random(17)
+    passage, fill = words_of(r, 60, 10**6), lambda n: words_of(r, n, 10**6)
+    texts = [" ".join(fill(60) + passage[15 * (i % 4) : 15 * (i % 4) + 15] + fill(60)) for i in range(32)]
+    texts += [" ".join(fill(60) + passage + fill(60)) for _ in range(3)]
+    out = substring_dedup.repeated_passages(docs_of(spark, texts)).collect()
+    assert {x["doc_id"] for x in out} == {33, 34} and all(x["end_word"] - x["start_word"] >= 60 for x in out)
+
+
 # -- decontamination -----------------------------------------------------------------
 
 
