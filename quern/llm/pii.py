@@ -10,12 +10,13 @@ rounds over the pattern-instance graph, and mentions that reach ``TRUST`` are
 added.  Frequent words never become patterns: their occurrences are counted in
 all texts, not only before identifiers.
 
-Edges of the graph are distinct pairs, aggregated before each shuffle; an edge
-is 4 numbers whatever the text's length.  What is broadcast is a bitmap of fixed
+Edges of the graph are distinct pairs with their number of mentions, aggregated
+before each shuffle; an edge is 5 numbers whatever the text's length.  What is broadcast is a bitmap of fixed
 size over pattern hashes, which only thins the counting pass.
 
 Defined cases: a null or empty text has no spans; repeated rows each give a row;
-copies of a text count once as an edge; an empty table gives an empty one; other
+copies of a text are one edge, whose mentions count as often as the pattern's
+occurrences do; an empty table gives an empty one; other
 columns aren't read.
 """
 
@@ -183,22 +184,22 @@ def _occurrences(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
 def bootstrap(docs: DataFrame, found: DataFrame) -> DataFrame:
     """doc_id, kind (number), start, end of the mentions that trusted patterns add."""
     each = found.select("doc_id", F.explode("mentions").alias("m")).select("doc_id", "m.*")
-    edges = each.select(F.explode(F.array("one", "two")).alias("pattern"), "instance", "kinds", "seed").where("pattern IS NOT NULL").distinct()
+    edges = each.select(F.explode(F.array("one", "two")).alias("pattern"), "instance", "kinds", "seed").where("pattern IS NOT NULL").groupBy("pattern", "instance", "kinds", "seed").agg(F.count(F.lit(1)).alias("n"))
     kind = F.explode(F.filter(F.sequence(F.lit(0), F.lit(len(KINDS) - 1)), lambda k: F.expr("kinds").bitwiseAND(F.call_function("shiftleft", F.lit(1), k)) > 0))
-    edges = durable(edges.withColumn("kind", kind).select("pattern", "instance", "kind", "seed"), "pii-edges")
-    supported = edges.where("seed").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= SUPPORT)
+    edges = durable(edges.withColumn("kind", kind).select("pattern", "instance", "kind", "seed", "n"), "pii-edges")
+    supported = edges.where("seed").groupBy("pattern", "kind").agg(F.count_distinct("instance").alias("seeds"), F.sum("n").alias("seen")).where(F.col("seeds") >= SUPPORT).drop("seeds")
     supported = durable(supported, "pii-patterns")
     # At most 2^BITS numbers, however many patterns there are.
     slots = [r["slot"] for r in supported.select(F.shiftrightunsigned("pattern", 64 - BITS).alias("slot")).distinct().toLocalIterator()]
     wanted = np.zeros(1 << BITS, bool)
     wanted[slots] = True
     totals = _occurrences(docs, wanted)
-    patterns = durable(supported.join(totals, "pattern", "left").select("pattern", "kind", F.greatest(F.coalesce("occurrences", F.lit(0)), "seeds").alias("total")), "pii-totals")
-    live = durable(edges.join(patterns, ["pattern", "kind"]).groupBy("pattern", "kind", "instance").agg(F.max(F.col("seed").cast("double")).alias("seed"), F.max("total").alias("total")), "pii-live")
+    patterns = durable(supported.join(totals, "pattern", "left").select("pattern", "kind", F.greatest(F.coalesce("occurrences", F.lit(0)), "seen").alias("total")), "pii-totals")
+    live = durable(edges.join(patterns, ["pattern", "kind"]).groupBy("pattern", "kind", "instance").agg(F.max(F.col("seed").cast("double")).alias("seed"), F.sum("n").alias("n"), F.max("total").alias("total")), "pii-live")
     trust = live.groupBy("instance", "kind").agg(F.max("seed").alias("trust"))
     for _ in range(ROUNDS):
         # One more occurrence than seen keeps a pattern short of certainty.
-        score = live.join(trust, ["instance", "kind"]).groupBy("pattern", "kind").agg((F.sum("trust") / (F.max("total") + 1)).alias("score"))
+        score = live.join(trust, ["instance", "kind"]).groupBy("pattern", "kind").agg((F.sum(F.col("trust") * F.col("n")) / (F.greatest(F.max("total"), F.sum("n")) + 1)).alias("score"))
         score = score.where(F.col("score") >= TRUST / 2)
         doubt = live.join(score, ["pattern", "kind"]).groupBy("instance", "kind").agg(F.max("seed").alias("seed"), F.sum(F.log(1 - F.least("score", F.lit(0.999)))).alias("doubt"))
         trust = durable(doubt.select("instance", "kind", F.greatest("seed", 1 - F.exp("doubt")).alias("trust")), "pii-trust")

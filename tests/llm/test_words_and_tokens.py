@@ -143,6 +143,13 @@ def test_bootstrapping_finds_unseen_forms(spark):
     assert pii.extract(docs_of(spark, ["x"]).where("false")).count() == 0
 
 
+def test_copies_count_alike_on_both_sides_of_a_pattern(spark):
+    texts = [f"please call me +1 555 010 {1000 + i} soon" for i in range(10)] + ["please call me +1 555 010 9999 soon"] * 200 + ["please call me 555-010-2233 today"]
+    out = {r["doc_id"]: r for r in pii.extract(docs_of(spark, texts)).collect()}
+    assert not any(out[i]["added"] for i in range(210))
+    assert [texts[210][s["start"] : s["end"]] for s in out[210]["added"]] == ["555-010-2233"]
+
+
 # -- quality rules ---------------------------------------------------------------
 
 
