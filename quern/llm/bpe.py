@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkernels import VALUES, column_bytes, lists, mix, pieces, power_tables
+from .textkernels import column_bytes, hash_runs, lists, pieces
 
 MAX_VOCABULARY_BYTES = 64 << 20
 #: Pieces that a worker remembers before it starts afresh; bounds its memory.
@@ -59,11 +59,16 @@ def _classes() -> np.ndarray:
     return out
 
 
-def spans_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    up, down = power_tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(VALUES[data] * up[:-1], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+def same_bytes(a: np.ndarray, begin: np.ndarray, end: np.ndarray, b: np.ndarray, begin2: np.ndarray, end2: np.ndarray) -> np.ndarray:
+    """Whether each stretch of ``a`` has the bytes of its stretch of ``b``."""
+    n = end - begin
+    same = n == end2 - begin2
+    n = np.where(same, n, 0)
+    ends = np.cumsum(n)
+    step = np.arange(int(ends[-1]) if len(ends) else 0)
+    differ = np.flatnonzero(a[step + np.repeat(begin - (ends - n), n)] != b[step + np.repeat(begin2 - (ends - n), n)])
+    same[np.searchsorted(ends, differ, "right")] = False
+    return same
 
 
 def safe_cut(data: np.ndarray, offsets: np.ndarray, a: int) -> int:
@@ -292,13 +297,14 @@ class Vocabulary:
     def _forget(self) -> None:
         self.known: dict[int, int] = {}
         self.all_flat, self.all_starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.all_bytes, self.byte_starts = np.zeros(0, np.uint8), np.zeros(1, np.int64)
 
     def _learn(self, data: np.ndarray, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         """Merge pieces not seen yet; afterwards ``known`` has their rows in ``all_starts``."""
         lengths = end - start
         width = np.left_shift(1, np.maximum(1, np.ceil(np.log2(np.maximum(lengths, 2))).astype(np.int64)))
         width[lengths > MATRIX_BYTES] = 0
-        flats, counts, names = [], [], []
+        flats, counts, names, order = [], [], [], []
         for w in np.unique(width).tolist():
             members = np.flatnonzero(width == w)
             step = max(1, (1 << 19) // w) if w else len(members)
@@ -312,17 +318,22 @@ class Vocabulary:
                 flats.append(flat.astype(np.int32))
                 counts.append(n)
                 names.append(hashes[some])
+                order.append(some)
         fresh = np.concatenate(names).tolist()
         self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
         self.all_flat = np.concatenate([self.all_flat, *flats])
         self.all_starts = np.concatenate([self.all_starts, self.all_starts[-1] + np.cumsum(np.concatenate(counts))])
+        own = np.concatenate(order)
+        n, ends = lengths[own], np.cumsum(lengths[own])
+        self.all_bytes = np.concatenate([self.all_bytes, data[np.arange(int(ends[-1])) + np.repeat(start[own] - (ends - n), n)]])
+        self.byte_starts = np.concatenate([self.byte_starts, self.byte_starts[-1] + ends])
 
     def encode_pieces(self, data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, ids of each piece); the pieces tile ``data`` and begin at ``start``."""
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         end = np.append(start[1:], len(data))
-        hashes, first, back = np.unique(spans_hash(data, start, end), return_index=True, return_inverse=True)
+        hashes, first, back = np.unique(hash_runs(data, start, end), return_index=True, return_inverse=True)
         if len(self.known) > CACHE_PIECES:
             self._forget()
         get = self.known.get
@@ -331,10 +342,18 @@ class Vocabulary:
         if len(new):
             self._learn(data, hashes[new], start[first[new]], end[first[new]])
             rows[new] = [self.known[h] for h in hashes[new].tolist()]
-        begin = self.all_starts[rows][back]
-        n = self.all_starts[rows + 1][back] - begin
+        rows = rows[back]
+        # An equal hash is no proof: pieces with other bytes than the known ones are merged on their own.
+        other = np.flatnonzero(~same_bytes(data, start, end, self.all_bytes, self.byte_starts[rows], self.byte_starts[rows + 1]))
+        begin = self.all_starts[rows]
+        n = self.all_starts[rows + 1] - begin
+        flat = self.all_flat
+        for i in other.tolist():
+            own = np.array(self.merge_long(data[start[i] : end[i]].tobytes()), np.int32)
+            begin[i], n[i] = len(flat), len(own)
+            flat = np.concatenate([flat, own])
         ends = np.cumsum(n)
-        return self.all_flat[np.repeat(begin - (ends - n), n) + np.arange(int(ends[-1]))], n
+        return flat[np.repeat(begin - (ends - n), n) + np.arange(int(ends[-1]))], n
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, ids of each text) of UTF-8 texts that lie one after another."""

@@ -2,33 +2,44 @@
 
 Two documents link when the Jaccard similarity of their sets of word n-grams
 reaches a threshold; the result is each document's set size and connected
-component.  In any global order of tokens, similar sets share tokens among their
+component.  In any global order of tokens, similar sets share a token among their
 first ones (their prefixes).  Three orders are used and a pair has to pass all:
 
-1. by hash, ascending, with a prefix long enough that a pair shares ``m`` tokens
-   in it (about a tenth of the set);
-2. by rarity (document frequency) within the prefix of order 1: all but the
-   ``m - 1`` most frequent of these tokens, so that tokens shared by very many
-   documents hardly ever produce candidates;
-3. by hash, descending: checked on a pair before it is verified, together with
-   an upper bound of the overlap from counts of tokens per hash class.
-
-Then sets are intersected and compared in integers.  Work is bounded as follows.
-Documents with equal sets are first made one.  Tokens that one set alone holds
-never leave the counting step.  Of the documents that share a token, all are
-compared with one *pivot*, that whose tokens are the most frequent around; what
-links then forms components.  Only where a token still joins different
-components, documents of different components are compared, in blocks of bounded
-size, and only pairs whose upper bound passes leave a block.  No pair that could
-link two components is skipped, so components are those of all links.
-
-Hashes have 64 bits; sets count as equal when two 64-bit sums and the size agree.
-
-Defined cases: a null or empty text, or one of separators only, has an empty
-set, 0 shingles, and is its own component; fewer words than ``n`` make one
-shingle of the whole sequence; equal documents are one component; repeated ids
-each give a row with the same component; null ids are left out; an empty table
-gives an empty one; other columns aren't read.
+1. by level, then hash: a token's level is the logarithm of the number of
+   documents that hold it, so that the prefix has a document's own tokens first
+   and those of passages and groups of copies last; prefix tokens that two
+   documents share make the pairs;
+2. by level, then another hash;
+3. by hash, descending.
+
+A pair is verified only if its documents' prefixes meet in orders 2 and 3 too and
+an upper bound of the overlap, from counts of tokens per hash class, allows a
+link.  Then sets are intersected and compared in integers.
+
+Levels come from counts of all tokens in all documents.  Any table gives a
+consistent order, so results are exact whatever it holds; it has a fixed number
+of slots, and the least counted level rises with the corpus so that few slots are
+taken.
+
+Work is bounded as follows.  Equal sets are first made one.  Tokens that one set
+alone has in its prefix never leave the counting step.  Of the documents that
+share a prefix token, all are compared with one *pivot*, that whose tokens are the
+most frequent around; what links then forms components.  Only where a token still
+joins different components, documents of different components meet, in blocks of
+bounded size, and only pairs whose sizes and class counts allow a link leave a
+block.  No pair that could link two components is skipped, so components are
+those of all links.  Documents that share rare tokens, don't link and pass every
+bound are the pairs that remain; their number is quadratic in such a family.
+
+Hashes have 64 bits; sets count as equal when their 64-bit digests are.
+
+Defined cases: each row is a document of its own, so repeated ids with different
+texts can be in different components, and rows of equal texts are in one; a null
+or empty text, or one of separators only, has an empty set, 0 shingles, and is
+its own component; fewer words than ``n`` make one shingle of the whole sequence;
+rows with a null id link with nothing and have a null component; texts of any
+length count whole (class counts of very long ones stop bounding); pairs just at
+the threshold link; an empty table gives an empty one; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -37,19 +48,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
 from .durable import drop_durable, durable
-from .textkernels import column_bytes, lists, mix, pieces, runs, shingles
+from .textkernels import MIX_1, column_bytes, lists, mix, pieces, runs, shingles
 
-#: One part in so many of a set has to be shared within the prefix of order 1.
-SHARE = 10
-#: Hash classes whose counts bound a pair's overlap.
+#: Hash classes whose counts bound a pair's overlap; counts stop at 255.
 CLASSES = 64
 #: Documents of one list that meet in one block.
-BLOCK = 512
+BLOCK = 4096
+#: Slots of the level table, the most tokens that get a level, and the least count that does.
+SLOT_BITS, MOST_COUNTED, LEAST_COUNT = 24, 1 << 20, 16
 
 
 def needed(n: int, percent: int) -> int:
@@ -58,12 +69,7 @@ def needed(n: int, percent: int) -> int:
 
 
 def prefix_length(n: int, percent: int) -> int:
-    return n - needed(n, percent) + -(-n // SHARE)
-
-
-def sure_shared(n: Column, percent: int) -> Column:
-    """Tokens that a linked pair shares in the prefix of order 1, for either set."""
-    return F.ceil(F.ceil(n * percent / 100) / SHARE)
+    return n - needed(n, percent) + 1
 
 
 def sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -75,52 +81,96 @@ def sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
         yield np.unique(every[a : b - width + 1] if b - a >= width else shingles(words[a:b], width))
 
 
-def _signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
+def node_of(s: np.ndarray) -> int:
+    """A digest of a whole set, as a signed long."""
+    both = mix(np.array([mix(s, 1).sum(dtype=np.uint64)]) * np.uint64(MIX_1) + mix(s, 2).sum(dtype=np.uint64) + np.uint64(len(s)))
+    return int(both.view(np.int64)[0])
+
+
+# -- levels --------------------------------------------------------------------
+
+
+def _slots(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _levels(docs: DataFrame, width: int) -> np.ndarray:
+    """The level of each slot of token hashes: 0, or 1 + log2 of the documents that hold its most frequent token over the least counted number."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", 8 << 20):
+            every = list(sets(batch.column("text"), width))
+            h, n = np.unique(np.concatenate(every), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], names=["h", "n"])
+
+    counted = docs.select("text").mapInArrow(work, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
+    counted = durable(counted.select("h", F.floor(F.log2(F.col("n") / LEAST_COUNT)).cast("int").alias("level")), "ngram-counts")
+    # At most 64 rows.
+    have = {r["level"]: r["n"] for r in counted.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}
+    least = next(k for k in range(65) if sum(n for level, n in have.items() if level >= k) <= MOST_COUNTED)
+    table = np.zeros(1 << SLOT_BITS, np.uint8)
+    # At most MOST_COUNTED rows of two ints, whatever the corpus.
+    slot = F.shiftrightunsigned("h", 64 - SLOT_BITS).cast("int").alias("slot")
+    top = counted.where(F.col("level") >= least).groupBy(slot).agg(F.max("level").alias("level")).toArrow()
+    table[top.column("slot").to_numpy()] = top.column("level").to_numpy() - least + 1
+    drop_durable(counted)
+    return table
+
+
+# -- signatures ----------------------------------------------------------------
+
+_NARROW = "node long, n long, classes binary, second binary, third binary"
+
+
+def _signatures(docs: DataFrame, width: int, percent: int, levels: np.ndarray) -> DataFrame:
+    """doc_id, node, n, head (prefix in order 1), classes (counts per hash class), second and third (prefixes in orders 2 and 3, 32 bits a token)."""
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
         for batch in pieces(batches, "text", 2 << 20):
-            each = list(sets(batch.column("text"), width))
-            n = np.array([len(s) for s in each], np.int64)
-            one = [int(mix(s, 1).sum(dtype=np.uint64)) for s in each]
-            two = [int(mix(s, 2).sum(dtype=np.uint64)) for s in each]
-            head = [s[: prefix_length(len(s), percent)] for s in each]
-            flat = np.concatenate(head).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array(n),
-                    pa.array(np.array(one, np.uint64).view(np.int64)),
-                    pa.array(np.array(two, np.uint64).view(np.int64)),
-                    lists(flat, np.array([len(h) for h in head], np.int64), pa.int64()),
-                ],
-                names=["doc_id", "n", "f1", "f2", "head"],
-            )
-
-    return docs.mapInArrow(work, "doc_id long, n long, f1 long, f2 long, head array<long>")
+            nodes, n, heads, classes, second, third = [], [], [], [], [], []
+            for s in sets(batch.column("text"), width):
+                k = prefix_length(len(s), percent) if len(s) else 0
+                level = table[_slots(s)]
+                order = np.argsort(level, kind="stable")[:k]
+                other = np.lexsort((mix(s, 5), level))[:k]
+                nodes.append(node_of(s))
+                n.append(len(s))
+                heads.append(s[order])
+                classes.append(np.minimum(np.bincount((s & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8).tobytes())
+                second.append(np.sort(s[other].astype(np.uint32)).tobytes())
+                third.append(np.sort(s[len(s) - k :].astype(np.uint32)).tobytes())
+            flat = np.concatenate(heads).view(np.int64)
+            columns = [batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(n, pa.int64()), lists(flat, np.array([len(h) for h in heads], np.int64), pa.int64())]
+            columns += [pa.array(x, pa.binary()) for x in (classes, second, third)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", "head", "classes", "second", "third"])
+
+    return docs.mapInArrow(work, "doc_id long, node long, n long, head array<long>, classes binary, second binary, third binary")
 
 
 def _full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, classes (counts of tokens per hash class, uint16, at most 65535), tokens (sorted uint64)."""
+    """node, tokens (sorted uint64)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 2 << 20):
             each = list(sets(batch.column("text"), width))
-            counts = [np.minimum(np.bincount((s & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES), 65535).astype(np.uint16).tobytes() for s in each]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.binary()), pa.array([s.tobytes() for s in each], pa.binary())],
-                names=["doc_id", "classes", "tokens"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in each], pa.int64()), pa.array([s.tobytes() for s in each], pa.binary())], names=["node", "tokens"])
+
+    return docs.select("text").mapInArrow(work, "node long, tokens binary").dropDuplicates(["node"])
 
-    return docs.mapInArrow(work, "doc_id long, classes binary, tokens binary")
+
+# -- filters -------------------------------------------------------------------
 
 
 def _counts(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, CLASSES).astype(np.int32)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CLASSES)
 
 
 def _bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Upper bound of the overlap from class counts; a full count bounds nothing."""
     least = np.minimum(x, y)
-    return np.where((least == 65535).any(axis=-1), np.iinfo(np.int64).max // 4, least.sum(axis=-1))
+    return np.where(least.max(axis=-1) == 255, np.iinfo(np.int64).max // 4, least.sum(axis=-1, dtype=np.int64))
 
 
 def _may_link(n: np.ndarray, m: np.ndarray, overlap: np.ndarray, percent: int) -> np.ndarray:
@@ -129,17 +179,30 @@ def _may_link(n: np.ndarray, m: np.ndarray, overlap: np.ndarray, percent: int) -
     return 100 * o >= percent * (n + m - o)
 
 
-def _passing(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, na, nb, ca, cb) whose class counts let them link, as (a, b)."""
+def _meet(x: pa.Scalar, y: pa.Scalar) -> bool:
+    p, q = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
+    if len(p) > len(q):
+        p, q = q, p
+    at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+    return bool((q[at] == p).any())
+
+
+def _filtered(pairs: DataFrame, narrow: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes whose class counts let them link and whose prefixes meet in orders 2 and 3."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                n, m = (batch.column(c).to_numpy() for c in ("na", "nb"))
-                keep = _may_link(n, m, _bound(_counts(batch.column("ca")), _counts(batch.column("cb"))), percent)
-                yield batch.select(["a", "b"]).filter(pa.array(keep))
+            if not batch.num_rows:
+                continue
+            n, m = (batch.column(c).to_numpy() for c in ("an", "bn"))
+            keep = _may_link(n, m, _bound(_counts(batch.column("aclasses")), _counts(batch.column("bclasses"))), percent)
+            side = {c: batch.column(c) for c in ("asecond", "bsecond", "athird", "bthird")}
+            for i in np.flatnonzero(keep).tolist():
+                keep[i] = _meet(side["asecond"][i], side["bsecond"][i]) and _meet(side["athird"][i], side["bthird"][i])
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return pairs.mapInArrow(work, "a long, b long")
+    left, right = (narrow.select(*(F.col(c).alias(k if c == "node" else k + c) for c in ("node", "n", "classes", "second", "third"))) for k in "ab")
+    return pairs.join(right, "b").join(left, "a").mapInArrow(work, "a long, b long")
 
 
 def _verified(pairs: DataFrame, percent: int) -> DataFrame:
@@ -150,11 +213,6 @@ def _verified(pairs: DataFrame, percent: int) -> DataFrame:
             keep = []
             for x, y in zip(batch.column("ta"), batch.column("tb"), strict=True):
                 s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                # Order 3: the last tokens by hash of both have to meet.
-                p, q = s[needed(len(s), percent) - 1 :], t[needed(len(t), percent) - 1 :]
-                if not np.isin(p, q, assume_unique=True).any():
-                    keep.append(False)
-                    continue
                 small, large = (s, t) if len(s) <= len(t) else (t, s)
                 at = np.minimum(np.searchsorted(large, small), len(large) - 1)
                 o = int((large[at] == small).sum())
@@ -164,22 +222,26 @@ def _verified(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(work, "a long, b long")
 
 
-def _links(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    left, right = (full.select(F.col("doc_id").alias(k), F.col("tokens").alias(f"t{k}")) for k in ("a", "b"))
-    return _verified(pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb"), percent)
-
-
-def _size_ok(n: str, m: str, percent: int) -> Column:
-    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+def _links(pairs: DataFrame, docs: DataFrame, narrow: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) that link; texts are read again only of nodes in pairs that pass all filters."""
+    pairs = durable(_filtered(pairs, narrow, percent), "ngram-passing")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = narrow.select("node", "doc_id").join(nodes, "node", "left_semi").select("doc_id")
+    full = durable(_full_sets(docs.join(wanted, "doc_id", "left_semi"), width), "ngram-sets")
+    left, right = (full.select(F.col("node").alias(k), F.col("tokens").alias(f"t{k}")) for k in ("a", "b"))
+    links = durable(_verified(pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb"), percent), "ngram-links")
+    drop_durable(pairs)
+    drop_durable(full)
+    return links
 
 
 def _block_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a token (h) and may link, from entries (h, doc_id, n, component, classes)."""
+    """Pairs of different components that share a token (h) and may link, from entries (h, node, n, component, classes)."""
     sizes = entries.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     placed = entries.join(sizes, "h").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     grouped = placed.groupBy("h", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")).agg(
-        F.collect_list(F.struct("doc_id", "n", "component", (F.col("own") > F.col("other")).alias("second"), "classes")).alias("x")
+        F.collect_list(F.struct("node", "n", "component", (F.col("own") > F.col("other")).alias("second"), "classes")).alias("x")
     )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,20 +249,25 @@ def _block_pairs(entries: DataFrame, percent: int) -> DataFrame:
             found = [np.zeros((0, 2), np.int64)]
             column = batch.column("x")
             starts, fields = column.offsets.to_numpy(), column.values
-            docs, n, comp, second = (fields.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+            nodes, n, comp, second = (fields.field(k).to_numpy(zero_copy_only=False) for k in range(4))
             classes = _counts(fields.field(4)) if len(fields) else None
             same = (batch.column("p").to_numpy() == batch.column("q").to_numpy()).tolist()
             for a, b, one in zip(starts.tolist(), starts[1:].tolist(), same, strict=False):
                 rows = np.arange(a, b)
-                mine, theirs = (rows, rows) if one else (rows[~second[a:b]], rows[second[a:b]])
-                for i in mine.tolist():
-                    to = theirs[theirs > i] if one else theirs
+                rows = rows[np.argsort(n[a:b], kind="stable")]  # those of sizes that may link follow each other
+                mine, theirs = (rows, rows) if one else (rows[~second[rows]], rows[second[rows]])
+                sizes = n[theirs]
+                low = np.searchsorted(sizes, n[mine] * percent / 100.0 - 1e-6)
+                high = np.searchsorted(sizes, n[mine] * 100.0 / percent + 1e-6, "right")
+                for k, i in enumerate(mine.tolist()):
+                    to = theirs[k + 1 : high[k]] if one else theirs[low[k] : high[k]]
                     to = to[comp[to] != comp[i]]
                     if len(to):
                         to = to[_may_link(n[to], n[i], _bound(classes[to], classes[i]), percent)]
-                        found.append(np.column_stack([np.full(len(to), docs[i]), docs[to]]))
+                        found.append(np.column_stack([np.full(len(to), nodes[i]), nodes[to]]))
             ab = np.concatenate(found)
-            yield pa.RecordBatch.from_arrays([pa.array(ab.min(axis=1)), pa.array(ab.max(axis=1))], names=["a", "b"])
+            ab = np.unique(np.column_stack([ab.min(axis=1), ab.max(axis=1)]), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"])
 
     return grouped.select("p", "q", "x").mapInArrow(work, "a long, b long").distinct()
 
@@ -209,56 +276,45 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """doc_id, n_shingles, component_id of each row of ``docs`` (doc_id, text); ``percent`` of 60 to 100."""
     if not 60 <= percent <= 100:
         raise ValueError("percent has to be from 60 to 100")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    signed = durable(_signatures(docs, width, percent), "ngram-signatures")
-    same_set = ["f1", "f2", "n"]
-    groups = durable(signed.where("n > 0").groupBy(*same_set).agg(F.min("doc_id").alias("rep")), "ngram-groups")
-
-    # Order 1: prefixes by hash, of one document of each set.
-    heads = signed.select("doc_id", "n", "head").join(groups.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    tokens = heads.select("doc_id", "n", F.explode("head").alias("h"))
-    shared = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    # Order 2: by rarity; tokens of one document only come first and find nobody.
-    ranked = (
-        tokens.join(shared, "h")
-        .groupBy("doc_id", "n")
-        .agg(F.array_sort(F.collect_set(F.struct("df", "h"))).alias("x"))
-        .withColumn("take", (F.size("x") - sure_shared(F.col("n"), percent) + 1).cast("int"))
-        .where("take > 0")
-    )
-    central = F.aggregate("x", F.lit(0).cast("long"), lambda s, t: s + t["df"]) / F.col("n")
-    entries = durable(ranked.select("doc_id", "n", central.alias("c"), F.explode(F.slice("x", F.lit(1), F.col("take"))["h"]).alias("h")), "ngram-entries")
-    member = durable(signed.select("doc_id", *same_set).join(groups, same_set, "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("node")), "ngram-members")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    signed = durable(_signatures(docs, width, percent, _levels(docs, width)), "ngram-signatures")
+    # One row for each distinct set, with the least document that has it.
+    real = signed.where("n > 0 AND doc_id IS NOT NULL")
+    first = real.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    chosen = real.join(first, ["node", "doc_id"], "left_semi")
+
+    # Order 1: the tokens that several sets have in their prefixes.
+    tokens = chosen.select("node", "n", F.explode("head").alias("h")).distinct()
+    shared = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    met = durable(tokens.join(shared, "h"), "ngram-entries")
+    narrow = durable(chosen.select("node", "doc_id", "n", "classes", "second", "third").join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "ngram-narrow")
+    member = durable(signed.select("doc_id", "n", "node"), "ngram-members")
     drop_durable(signed)
-    drop_durable(groups)
-
-    top = F.max(F.struct("c", (-F.col("doc_id")).alias("d"), "n"))
-    pivots = entries.groupBy("h").agg(F.count(F.lit(1)).alias("k"), top.alias("top")).where("k > 1")
-    pivots = durable(pivots.select("h", (-F.col("top.d")).alias("pivot"), F.col("top.n").alias("pn")), "ngram-pivots")
-    met = entries.join(pivots, "h")
-    candidates = met.select("doc_id").union(pivots.select("pivot")).distinct()
-    full = durable(_full_sets(docs.join(candidates, "doc_id", "left_semi").dropDuplicates(["doc_id"]), width), "ngram-sets")
-    light = full.select("doc_id", "classes")
-
-    first = met.where(F.col("doc_id") != F.col("pivot")).where(_size_ok("n", "pn", percent))
-    first = first.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("pivot").alias("a"), F.col("pn").alias("na")).distinct()
-    first = first.join(light.select(F.col("doc_id").alias("b"), F.col("classes").alias("cb")), "b").join(light.select(F.col("doc_id").alias("a"), F.col("classes").alias("ca")), "a")
-    links = durable(_links(_passing(first, percent), full, percent), "ngram-links")
-    labels = durable(components(links), "ngram-labels")
 
-    def labelled(df: DataFrame) -> DataFrame:
-        return df.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    # The pivot has the greatest share of its set in company.
+    central = met.groupBy("node").agg((F.sum("k") / F.max("n")).alias("c"))
+    placed = met.join(central, "node")
+    top = F.max(F.struct("c", (-F.col("node")).alias("d"), F.col("n").alias("n")))
+    pivots = placed.groupBy("h").agg(top.alias("top")).select("h", (-F.col("top.d")).alias("b"), F.col("top.n").alias("bn"))
+    pairs = met.join(pivots, "h").where("node <> b").where(F.least("n", "bn") * 100 >= F.greatest("n", "bn") * percent)
+    links = _links(pairs.select(F.col("node").alias("a"), "b").distinct(), docs, narrow, width, percent)
+    labels = durable(components(links), "ngram-labels")
 
-    rest = labelled(entries.select("h", "doc_id", "n"))
+    rest = met.select("h", "node", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = rest.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("h")
-    open_entries = rest.join(split, "h", "left_semi").join(light, "doc_id")
-    more = durable(_links(_block_pairs(open_entries, percent), full, percent), "ngram-links")
+    open_entries = rest.join(split, "h", "left_semi").join(narrow.select("node", "classes"), "node")
+    more = _links(_block_pairs(open_entries, percent), docs, narrow, width, percent)
     labels2 = durable(components(links.union(more)), "ngram-labels")
-
-    for table in (entries, pivots, full):
+    for table in (met, narrow, labels, links, more):
         drop_durable(table)
-    out = member.join(labels2, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
+
+    # A component is named by the least document in it.
+    named = member.where("n > 0 AND doc_id IS NOT NULL").join(labels2, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    lone = member.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("own_id"))
+    names = lone.join(labels2.join(named, "component").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "own_id").alias("component_id"))
+    out = member.join(names, "node", "left")
+    own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

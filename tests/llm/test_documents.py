@@ -97,11 +97,27 @@ def test_ngram_join_equals_all_pairs(spark, monkeypatch, width, percent, block):
 
 
 def test_ngram_join_on_odd_tables(spark):
-    df = docs_of(spark, ["a b c d e", "a b c d e", None], [7, 7, None])
-    assert sorted(map(tuple, ngram_join.join_components(df).collect())) == [(7, 1, 7), (7, 1, 7)]
+    long = " ".join(f"w{i % 9000}" for i in range(60_000))
+    df = docs_of(spark, ["a b c d e", "a b c d e", None, "a b c d e", "x y z", long, long + " end", None], [7, 7, None, None, 7, 5, 6, 8])
+    out = sorted(map(tuple, ngram_join.join_components(df).collect()), key=str)
+    assert out == sorted([(7, 1, 7), (7, 1, 7), (None, 0, None), (None, 1, None), (7, 1, 7), (5, 9000, 5), (6, 9001, 5), (8, 0, 8)], key=str)
     assert ngram_join.join_components(df.where("false")).count() == 0
 
 
+def thue_morse(n):
+    text = "a"
+    while len(text) < n:
+        text += text.translate(str.maketrans("ab", "ba"))
+    return text
+
+
+def test_structured_words_have_other_hashes():
+    flip = str.maketrans("ab", "ba")
+    words = [x for n in (64, 256, 1024, 8192) for x in (thue_morse(n), thue_morse(n).translate(flip))]
+    found = [s.tolist() for s in ngram_join.sets(pa.array(words), 4)]
+    assert len({x for s in found for x in s}) == len(words)
+
+
 # -- line dedup ----------------------------------------------------------------------
 
 

@@ -94,6 +94,25 @@ def test_bpe_steps_don_t_change_ids(monkeypatch, reference):
     assert not slow.fast and slow.encode(*column_bytes(pa.array(texts)))[0].tolist() == flat.tolist()
 
 
+def test_pieces_with_equal_hashes_stay_apart(monkeypatch, reference):
+    import public_tokenizers as P
+
+    vocabulary = bpe.Vocabulary(open(P.path("byte_bpe_50k.tiktoken"), "rb").read(), P.PATTERN)
+    text = "a"
+    while len(text) < 8192:
+        text += text.translate(str.maketrans("ab", "ba"))
+    texts = [x for n in (1024, 8192) for x in (text[:n], text[:n].translate(str.maketrans("ab", "ba")))]
+    for _ in range(2):
+        flat, n = vocabulary.encode(*column_bytes(pa.array(texts)))
+        assert flat.tolist() == [i for t in texts for i in reference.encode_ordinary(t)]
+    monkeypatch.setattr(bpe, "hash_runs", lambda data, start, end: (end - start).astype(np.uint64) % np.uint64(3))
+    vocabulary._forget()
+    texts = ["some words of no length in particular, and more", "other words", "words other"]
+    for _ in range(2):
+        flat, n = vocabulary.encode(*column_bytes(pa.array(texts)))
+        assert flat.tolist() == [i for t in texts for i in reference.encode_ordinary(t)] and n.tolist() == [len(reference.encode_ordinary(t)) for t in texts]
+
+
 def test_bpe_digests_and_empty_table(spark, reference):
     row = bpe.digests(bpe.encode(docs_of(spark, ["hello world"]).select("doc_id", "text"))).first()
     ids = reference.encode_ordinary("hello world")
