@@ -13,8 +13,8 @@ first ones (their prefixes).  Three orders are used and a pair has to pass all:
 3. by hash, descending.
 
 A pair is verified only if its documents' prefixes meet in orders 2 and 3 too and
-an upper bound of the overlap, from counts of tokens per hash class, allows a
-link.  Then sets are intersected and compared in integers.
+a lower bound of their difference allows a link: the parities of tokens per hash
+class, about two bits a token, differ in no more bits than the sets in tokens.  Then sets are intersected and compared in integers.
 
 Levels come from counts of all tokens in all documents.  Any table gives a
 consistent order, so results are exact whatever it holds; it has a fixed number
@@ -26,7 +26,7 @@ alone has in its prefix never leave the counting step.  Of the documents that
 share a prefix token, all are compared with one *pivot*, that whose tokens are the
 most frequent around; what links then forms components.  Only where a token still
 joins different components, documents of different components meet, in blocks of
-bounded size, and only pairs whose sizes and class counts allow a link leave a
+bounded size, and only pairs whose sizes and parity sketches allow a link leave a
 block.  No pair that could link two components is skipped, so components are
 those of all links.  Documents that share rare tokens, don't link and pass every
 bound are the pairs that remain; their number is quadratic in such a family.
@@ -38,7 +38,7 @@ texts can be in different components, and rows of equal texts are in one; a null
 or empty text, or one of separators only, has an empty set, 0 shingles, and is
 its own component; fewer words than ``n`` make one shingle of the whole sequence;
 rows with a null id link with nothing and have a null component; texts of any
-length count whole (class counts of very long ones stop bounding); pairs just at
+length count whole; pairs just at
 the threshold link; an empty table gives an empty one; other columns aren't read.
 """
 
@@ -55,8 +55,8 @@ from .components import components
 from .durable import drop_durable, durable
 from .textkernels import MIX_1, column_bytes, lists, mix, pieces, runs, shingles
 
-#: Hash classes whose counts bound a pair's overlap; counts stop at 255.
-CLASSES = 64
+#: Bits of a parity sketch: a power of two from a token's two bits on, within these bounds.
+LEAST_BITS, MOST_BITS = 64, 1 << 16
 #: Documents of one list that meet in one block.
 BLOCK = 4096
 #: Slots of the level table, the most tokens that get a level, and the least count that does.
@@ -103,7 +103,8 @@ def _levels(docs: DataFrame, width: int) -> np.ndarray:
             h, n = np.unique(np.concatenate(every), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], names=["h", "n"])
 
-    counted = docs.select("text").mapInArrow(work, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
+    # Batches have added up what repeats in them; dealing rows by token first spares a map of all tokens in each reading task.
+    counted = docs.select("text").mapInArrow(work, "h long, n int").repartition("h").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
     counted = durable(counted.select("h", F.floor(F.log2(F.col("n") / LEAST_COUNT)).cast("int").alias("level")), "ngram-counts")
     # At most 64 rows.
     have = {r["level"]: r["n"] for r in counted.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -119,17 +120,14 @@ def _levels(docs: DataFrame, width: int) -> np.ndarray:
 
 # -- signatures ----------------------------------------------------------------
 
-_NARROW = "node long, n long, classes binary, second binary, third binary"
-
-
 def _signatures(docs: DataFrame, width: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """doc_id, node, n, head (prefix in order 1), classes (counts per hash class), second and third (prefixes in orders 2 and 3, 32 bits a token)."""
+    """doc_id, node, n, head (prefix in order 1), sketch (parities per hash class), second and third (prefixes in orders 2 and 3, 32 bits a token)."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in pieces(batches, "text", 2 << 20):
-            nodes, n, heads, classes, second, third = [], [], [], [], [], []
+            nodes, n, heads, sketches, second, third = [], [], [], [], [], []
             for s in sets(batch.column("text"), width):
                 k = prefix_length(len(s), percent) if len(s) else 0
                 level = table[_slots(s)]
@@ -138,15 +136,15 @@ def _signatures(docs: DataFrame, width: int, percent: int, levels: np.ndarray) -
                 nodes.append(node_of(s))
                 n.append(len(s))
                 heads.append(s[order])
-                classes.append(np.minimum(np.bincount((s & np.uint64(CLASSES - 1)).astype(np.int64), minlength=CLASSES), 255).astype(np.uint8).tobytes())
+                sketches.append(sketch(s).tobytes())
                 second.append(np.sort(s[other].astype(np.uint32)).tobytes())
                 third.append(np.sort(s[len(s) - k :].astype(np.uint32)).tobytes())
             flat = np.concatenate(heads).view(np.int64)
             columns = [batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(n, pa.int64()), lists(flat, np.array([len(h) for h in heads], np.int64), pa.int64())]
-            columns += [pa.array(x, pa.binary()) for x in (classes, second, third)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", "head", "classes", "second", "third"])
+            columns += [pa.array(x, pa.binary()) for x in (sketches, second, third)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", "head", "sketch", "second", "third"])
 
-    return docs.mapInArrow(work, "doc_id long, node long, n long, head array<long>, classes binary, second binary, third binary")
+    return docs.mapInArrow(work, "doc_id long, node long, n long, head array<long>, sketch binary, second binary, third binary")
 
 
 def _full_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -163,14 +161,47 @@ def _full_sets(docs: DataFrame, width: int) -> DataFrame:
 # -- filters -------------------------------------------------------------------
 
 
-def _counts(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CLASSES)
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of the tokens per hash class, in 64-bit words; halves of a longer sketch make a shorter one by exclusive or."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << int(2 * len(s)).bit_length()))
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _folded(x: np.ndarray, words: int) -> np.ndarray:
+    while x.shape[-1] > words:
+        half = x.shape[-1] // 2
+        x = x[..., :half] ^ x[..., half:]
+    return x
+
 
+def _most_common(x: np.ndarray, y: np.ndarray, n: np.ndarray | int, m: np.ndarray | int) -> np.ndarray:
+    """Upper bound of the overlap of sets of n and m tokens with sketches of one length."""
+    return (n + m - np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)) // 2
 
-def _bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Upper bound of the overlap from class counts; a full count bounds nothing."""
-    least = np.minimum(x, y)
-    return np.where(least.max(axis=-1) == 255, np.iinfo(np.int64).max // 4, least.sum(axis=-1, dtype=np.int64))
+
+class _Sketches:
+    """Sketches of many sets, one array for each length."""
+
+    def __init__(self, column: pa.Array) -> None:
+        each = [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+        self.words = np.array([len(x) for x in each])
+        self.row = np.zeros(len(each), np.int64)
+        self.of: dict[int, np.ndarray] = {}
+        for w in np.unique(self.words).tolist():
+            at = np.flatnonzero(self.words == w)
+            self.row[at] = np.arange(len(at))
+            self.of[w] = np.stack([each[i] for i in at.tolist()])
+
+    def most_common(self, i: int, to: np.ndarray, n: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(to), np.int64)
+        own = self.of[w := int(self.words[i])][self.row[i]]
+        there = self.words[to]
+        for v in np.unique(there).tolist():
+            at = np.flatnonzero(there == v)
+            least = min(v, w)
+            out[at] = _most_common(_folded(self.of[v][self.row[to[at]]], least), _folded(own, least), n[to[at]], n[i])
+        return out
 
 
 def _may_link(n: np.ndarray, m: np.ndarray, overlap: np.ndarray, percent: int) -> np.ndarray:
@@ -188,20 +219,23 @@ def _meet(x: pa.Scalar, y: pa.Scalar) -> bool:
 
 
 def _filtered(pairs: DataFrame, narrow: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes whose class counts let them link and whose prefixes meet in orders 2 and 3."""
+    """Pairs (a, b) of nodes whose sketches let them link and whose prefixes meet in orders 2 and 3."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             n, m = (batch.column(c).to_numpy() for c in ("an", "bn"))
-            keep = _may_link(n, m, _bound(_counts(batch.column("aclasses")), _counts(batch.column("bclasses"))), percent)
-            side = {c: batch.column(c) for c in ("asecond", "bsecond", "athird", "bthird")}
-            for i in np.flatnonzero(keep).tolist():
-                keep[i] = _meet(side["asecond"][i], side["bsecond"][i]) and _meet(side["athird"][i], side["bthird"][i])
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            side = {c: batch.column(c) for c in ("asketch", "bsketch", "asecond", "bsecond", "athird", "bthird")}
+            keep = []
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(side[c][i].as_buffer(), np.uint64) for c in ("asketch", "bsketch"))
+                least = min(len(x), len(y))
+                may = _may_link(n[i], m[i], _most_common(_folded(x, least), _folded(y, least), n[i], m[i]), percent)
+                keep.append(bool(may) and _meet(side["asecond"][i], side["bsecond"][i]) and _meet(side["athird"][i], side["bthird"][i]))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left, right = (narrow.select(*(F.col(c).alias(k if c == "node" else k + c) for c in ("node", "n", "classes", "second", "third"))) for k in "ab")
+    left, right = (narrow.select(*(F.col(c).alias(k if c == "node" else k + c) for c in ("node", "n", "sketch", "second", "third"))) for k in "ab")
     return pairs.join(right, "b").join(left, "a").mapInArrow(work, "a long, b long")
 
 
@@ -236,12 +270,12 @@ def _links(pairs: DataFrame, docs: DataFrame, narrow: DataFrame, width: int, per
 
 
 def _block_pairs(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a token (h) and may link, from entries (h, node, n, component, classes)."""
+    """Pairs of different components that share a token (h) and may link, from entries (h, node, n, component, sketch)."""
     sizes = entries.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     placed = entries.join(sizes, "h").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     grouped = placed.groupBy("h", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")).agg(
-        F.collect_list(F.struct("node", "n", "component", (F.col("own") > F.col("other")).alias("second"), "classes")).alias("x")
+        F.collect_list(F.struct("node", "n", "component", (F.col("own") > F.col("other")).alias("second"), "sketch")).alias("x")
     )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +284,7 @@ def _block_pairs(entries: DataFrame, percent: int) -> DataFrame:
             column = batch.column("x")
             starts, fields = column.offsets.to_numpy(), column.values
             nodes, n, comp, second = (fields.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-            classes = _counts(fields.field(4)) if len(fields) else None
+            sketches = _Sketches(fields.field(4))
             same = (batch.column("p").to_numpy() == batch.column("q").to_numpy()).tolist()
             for a, b, one in zip(starts.tolist(), starts[1:].tolist(), same, strict=False):
                 rows = np.arange(a, b)
@@ -263,7 +297,7 @@ def _block_pairs(entries: DataFrame, percent: int) -> DataFrame:
                     to = theirs[k + 1 : high[k]] if one else theirs[low[k] : high[k]]
                     to = to[comp[to] != comp[i]]
                     if len(to):
-                        to = to[_may_link(n[to], n[i], _bound(classes[to], classes[i]), percent)]
+                        to = to[_may_link(n[to], n[i], sketches.most_common(i, to, n), percent)]
                         found.append(np.column_stack([np.full(len(to), nodes[i]), nodes[to]]))
             ab = np.concatenate(found)
             ab = np.unique(np.column_stack([ab.min(axis=1), ab.max(axis=1)]), axis=0)
@@ -287,7 +321,7 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     tokens = chosen.select("node", "n", F.explode("head").alias("h")).distinct()
     shared = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     met = durable(tokens.join(shared, "h"), "ngram-entries")
-    narrow = durable(chosen.select("node", "doc_id", "n", "classes", "second", "third").join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "ngram-narrow")
+    narrow = durable(chosen.select("node", "doc_id", "n", "sketch", "second", "third").join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "ngram-narrow")
     member = durable(signed.select("doc_id", "n", "node"), "ngram-members")
     drop_durable(signed)
 
@@ -302,7 +336,7 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     rest = met.select("h", "node", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     split = rest.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("h")
-    open_entries = rest.join(split, "h", "left_semi").join(narrow.select("node", "classes"), "node")
+    open_entries = rest.join(split, "h", "left_semi").join(narrow.select("node", "sketch"), "node")
     more = _links(_block_pairs(open_entries, percent), docs, narrow, width, percent)
     labels2 = durable(components(links.union(more)), "ngram-labels")
     for table in (met, narrow, labels, links, more):
