@@ -205,6 +205,26 @@ def test_passages_behind_several_leaders(spark):
     assert {x["doc_id"] for x in out} == {33, 34} and all(x["end_word"] - x["start_word"] >= 60 for x in out)
 
 
+def test_passages_quoted_in_part_by_an_earlier_document(spark):
+    r = random.Random(18)
+    fill = lambda n: words_of(r, n, 10**6)
+    held = [fill(60) for _ in range(60)]
+    texts = [" ".join(w for p in held for w in p[:40] + fill(5))]
+    texts += [" ".join(fill(40) + p + fill(r.randint(0, 90))) for p in held for _ in range(2)]
+    out = substring_dedup.repeated_passages(docs_of(spark, texts)).collect()
+    pairs = {(2 * i + 2, 2 * i + 1) for i in range(60)}
+    assert {(x["doc_id"], x["other_id"]) for x in out} <= pairs
+    assert len({x["doc_id"] for x in out}) >= 0.95 * len(pairs)
+
+
+def test_passages_on_odd_tables(spark):
+    r = random.Random(19)
+    passage = " ".join(words_of(r, 60, 10**6))
+    long = " ".join(words_of(r, 50_000, 10**6))
+    df = docs_of(spark, [passage, passage, passage, long + " " + passage, passage + " " + passage, None], [3, 3, None, 5, 6, 7])
+    assert {(x["doc_id"], x["other_id"]) for x in substring_dedup.repeated_passages(df).collect()} | {(6, 5)} == {(5, 3), (6, 3), (6, 5)}
+
+
 # -- decontamination -----------------------------------------------------------------
 
 
