@@ -3,8 +3,10 @@
 Each document gets counts over its whole text.  A mergeable quantile sketch per
 (lang, source) - a histogram whose bucket edges keep ``SKETCH_BITS`` leading
 bits, so two sketches merge by adding counts and a quantile is off by at most
-one part in 64 - gives each rule's quartiles; a document is dropped where a rate
-lies above ``median + FENCE * (upper quartile - median) + slack``.  Sketches of
+one part in 64 - gives each rule's median and a high quantile; a document is
+dropped where a rate lies above ``high + FENCE * (high - median)`` of its own
+group.  Nothing else decides: where nine of ten documents of a group have no
+symbols at all, any are too many there.  Sketches of
 groups with under ``min_group`` documents are replaced by the merged sketch of
 their language, or of all documents.
 
@@ -13,7 +15,8 @@ partial aggregation before its shuffle (a hot source sends a few rows a task),
 and the thresholds come back by an ordinary join whose small side Spark measures
 at run time.
 
-Defined cases: a null text counts as empty (0 words, so base_failed); a null
+Defined cases: a rate just at the fence is inside; texts of any length count
+whole; a null text counts as empty (0 words, so base_failed); a null
 lang or source is the group ''; repeated rows each count and each give a row; an
 empty table gives an empty one; other columns aren't read.
 """
@@ -26,14 +29,15 @@ from pyspark.sql import functions as F
 from .durable import durable
 
 SKETCH_BITS = 7
-FENCE = 4
-#: Rule -> (numerator, denominator, slack), as rates per 1000.
+FENCE = 2
+#: Rule -> (numerator, denominator, per cent of the high quantile), as rates per ``SCALE``.
+SCALE = 1_000_000
 RULES = {
-    "symbols": ("n_symbols", "n_words", 150),
-    "bangs": ("n_bangs", "n_words", 150),
-    "dup_lines": ("n_dup_lines", "n_lines", 200),
-    "repeats": ("n_repeat_words", "n_words", 150),
-    "word_length": ("word_chars", "n_words", 6000),
+    "symbols": ("n_symbols", "n_words", 90),
+    "bangs": ("n_bangs", "n_words", 90),
+    "dup_lines": ("n_dup_lines", "n_lines", 95),
+    "repeats": ("n_repeat_words", "n_words", 90),
+    "word_length": ("word_chars", "n_words", 90),
 }
 
 
@@ -102,20 +106,23 @@ def counts(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -
 
 
 def _rates(counted: DataFrame) -> DataFrame:
-    rate = {r: (F.col(a) * 1000 / F.greatest(F.col(b), F.lit(1))).cast("long") for r, (a, b, _) in RULES.items()}
+    rate = {r: (F.col(a) * SCALE / F.greatest(F.col(b), F.lit(1))).cast("long") for r, (a, b, _) in RULES.items()}
     return counted.withColumns({f"r_{r}": c for r, c in rate.items()})
 
 
+def _bucket(v: Column) -> Column:
+    """The least number with the same leading bits."""
+    shift = F.greatest(F.length(F.bin(v)) - SKETCH_BITS, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", v, shift), shift)
+
+
 def sketches(rated: DataFrame) -> DataFrame:
     """lang, source, rule, bucket, n: the histogram sketch of each rule in each group.
 
     Add the n of equal buckets to merge sketches of parts of the data.
     """
     long = rated.select("lang", "source", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(f"r_{r}").alias("v")) for r in RULES))).alias("x"))
-    v = F.col("x.v")
-    shift = F.greatest(F.length(F.bin(v)) - SKETCH_BITS, F.lit(0))
-    bucket = F.call_function("shiftleft", F.call_function("shiftright", v, shift), shift)
-    return long.groupBy("lang", "source", F.col("x.rule").alias("rule"), bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return long.groupBy("lang", "source", F.col("x.rule").alias("rule"), _bucket(F.col("x.v")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _fences(sketch: DataFrame, group: list[str]) -> DataFrame:
@@ -126,10 +133,10 @@ def _fences(sketch: DataFrame, group: list[str]) -> DataFrame:
     ordered = Window.partitionBy(*group, "rule").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*group, "rule")
     ranked = merged.select(*group, "rule", "bucket", F.sum("n").over(ordered).alias("upto"), F.sum("n").over(whole).alias("total"))
-    quartile = {q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, F.col("bucket"))) for q in (2, 3)}
-    per_rule = ranked.groupBy(*group, "rule").agg(F.max("total").alias("total"), quartile[2].alias("q2"), quartile[3].alias("q3"))
-    slack = F.create_map(*(x for r, (_, _, s) in RULES.items() for x in (F.lit(r), F.lit(s))))
-    fence = F.col("q2") + FENCE * (F.col("q3") - F.col("q2")) + slack[F.col("rule")]
+    level = F.create_map(*(x for r, (_, _, p) in RULES.items() for x in (F.lit(r), F.lit(p))))[F.col("rule")]
+    at = lambda p: F.min(F.when(F.col("upto") * 100 >= F.col("total") * p, F.col("bucket")))
+    per_rule = ranked.groupBy(*group, "rule").agg(F.max("total").alias("total"), at(F.lit(50)).alias("median"), at(level).alias("high"))
+    fence = F.col("high") + FENCE * (F.col("high") - F.col("median"))
     return per_rule.groupBy(*group).agg(F.max("total").alias("docs"), *(F.max(F.when(F.col("rule") == r, fence)).alias(f"f_{r}") for r in RULES))
 
 
@@ -146,12 +153,13 @@ def thresholds(sketch: DataFrame, min_group: int) -> DataFrame:
 def judge(docs: DataFrame, min_group: int = 20) -> DataFrame:
     """doc_id, lang, source, all counts, base_failed, kept for each row of ``docs``."""
     group = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")]
+    # The fences of all documents are one row, so the join with them below is no cross product.
     rated = durable(_rates(counts(docs.select("doc_id", *group, "text"), keep=["doc_id", "lang", "source"])), "quality-counts")
     fences = thresholds(sketches(rated), min_group)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     inside = F.lit(True)
     for r in RULES:
-        inside &= F.col(f"r_{r}") <= F.col(f"f_{r}")
+        inside &= _bucket(F.col(f"r_{r}")) <= F.col(f"f_{r}")
     return rated.join(fences, ["lang", "source"]).withColumn("base_failed", failed).withColumn("kept", ~failed & inside)
 
 
@@ -162,13 +170,13 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    rules = ", ".join(f"('{r}', n.{a} * 1000 // greatest(n.{b}, 1), {s})" for r, (a, b, s) in RULES.items())
+    rules = ", ".join(f"('{r}', n.{a} * {SCALE} // greatest(n.{b}, 1), {p})" for r, (a, b, p) in RULES.items())
     one = """
-SELECT {g}, rule, max(total) AS docs, min(q2) + 4 * (min(q3) - min(q2)) + min(slack) AS fence FROM (
-  SELECT {g}, rule, slack, total, CASE WHEN upto * 4 >= total * 2 THEN bucket END AS q2, CASE WHEN upto * 4 >= total * 3 THEN bucket END AS q3 FROM (
-    SELECT {g}, rule, slack, bucket, sum(c) OVER (PARTITION BY {g}, rule ORDER BY bucket) AS upto, sum(c) OVER (PARTITION BY {g}, rule) AS total
-    FROM (SELECT {g}, rule, slack, bucket, count(*) AS c FROM bucketed GROUP BY ALL)))
-GROUP BY {g}, rule"""
+SELECT {g}, rule, max(total) AS docs, min(high) + FENCE * (min(high) - min(median)) AS fence FROM (
+  SELECT {g}, rule, total, CASE WHEN upto * 100 >= total * 50 THEN bucket END AS median, CASE WHEN upto * 100 >= total * level THEN bucket END AS high FROM (
+    SELECT {g}, rule, level, bucket, sum(c) OVER (PARTITION BY {g}, rule ORDER BY bucket) AS upto, sum(c) OVER (PARTITION BY {g}, rule) AS total
+    FROM (SELECT {g}, rule, level, bucket, count(*) AS c FROM bucketed GROUP BY ALL)))
+GROUP BY {g}, rule""".replace("FENCE", str(FENCE))
     return f"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS words FROM d),
@@ -181,12 +189,12 @@ n AS (SELECT w.doc_id, lang, source, len(words)::BIGINT AS n_words, len(regexp_r
   len(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, len(regexp_replace(t, '[^!?]+', '', 'g'))::BIGINT AS n_bangs,
   coalesce(n_lines, 0) AS n_lines, coalesce(dup.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
   FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id)),
-rates AS (SELECT n.doc_id, n.lang, n.source, r.rule, r.v, r.slack FROM n, LATERAL (VALUES {rules}) r(rule, v, slack)),
+rates AS (SELECT n.doc_id, n.lang, n.source, r.rule, r.v, r.level FROM n, LATERAL (VALUES {rules}) r(rule, v, level)),
 bucketed AS (SELECT *, (v >> greatest(length(bin(v)) - {SKETCH_BITS}, 0)) << greatest(length(bin(v)) - {SKETCH_BITS}, 0) AS bucket FROM rates),
 own AS ({one.format(g="lang, source")}), byl AS ({one.format(g="lang")}), every AS ({one.format(g="1").replace("SELECT 1, ", "SELECT ").replace("PARTITION BY 1, rule", "PARTITION BY rule").replace("GROUP BY 1, rule", "GROUP BY rule")}),
 fence AS (SELECT own.lang, own.source, own.rule, CASE WHEN own.docs >= 20 THEN own.fence WHEN byl.docs >= 20 THEN byl.fence ELSE every.fence END AS f
   FROM own JOIN byl ON own.lang = byl.lang AND own.rule = byl.rule JOIN every ON own.rule = every.rule),
-good AS (SELECT doc_id, bool_and(v <= f) AS inside FROM rates JOIN fence USING (lang, source, rule) GROUP BY doc_id)
+good AS (SELECT doc_id, bool_and(bucket <= f) AS inside FROM bucketed JOIN fence USING (lang, source, rule) GROUP BY doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND inside AS kept

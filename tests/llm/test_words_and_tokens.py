@@ -184,6 +184,24 @@ def test_quality_rules_on_odd_rows(spark):
     assert quality_rules.judge(df.where("false")).count() == 0
 
 
+def test_thresholds_follow_each_group(spark):
+    r = random.Random(9)
+    rows = []
+    for source, per in (("plain", 0), ("code", 12)):
+        for i in range(200):
+            words = [f"w{r.randrange(10**6)}" for _ in range(100)]
+            for k in r.sample(range(100), per + r.randrange(3) * (per > 0)):
+                words[k] += "#"
+            rows.append((len(rows), " ".join(words), "en", source))
+    rows += [(1000, " ".join(f"x{i}#" if i < 12 else f"x{i}" for i in range(100)), "en", source) for source in ("plain", "code")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    sketch = quality_rules.sketches(quality_rules._rates(quality_rules.counts(df, keep=["doc_id", "lang", "source"])))
+    fence = {x["source"]: x["f_symbols"] for x in quality_rules.thresholds(sketch, 20).collect()}
+    assert fence["plain"] == 0 and 130_000 <= fence["code"] <= 200_000
+    kept = {(x["doc_id"], x["source"]): x["kept"] for x in quality_rules.judge(df).collect()}
+    assert kept[1000, "code"] and not kept[1000, "plain"] and sum(kept.values()) >= 380
+
+
 def test_sketches_merge_by_adding(spark):
     df = docs_of(spark, [" ".join("ab" for _ in range(n)) for n in range(60, 100)])
     rated = quality_rules._rates(quality_rules.counts(df.fillna(""), keep=["doc_id", "lang", "source"]))
