@@ -129,7 +129,7 @@ def test_patience_alignment_is_common_and_increasing():
         assert all(a[i] == b[j] for i, j in out)
         assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(out, out[1:]))
     assert line_dedup.patience([1, 2, 3, 4], [9, 2, 3, 8, 4]) == [(1, 1), (2, 2), (3, 4)]
-    assert line_dedup.common_blocks([1, 2, 3, 4], [9, 2, 3, 8, 4], {3}) == [1, 2]
+    assert line_dedup.common_blocks([1, 2, 3, 4], [9, 2, 3, 8, 4], {3}, [1] * 5) == [1, 2]
 
 
 def test_line_dedup(spark):
@@ -146,8 +146,62 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(df.where("false")).count() == 0
 
 
+def test_line_dedup_equals_all_pairs(spark):
+    r = random.Random(13)
+    pool = [" ".join(words_of(r, r.randint(3, 12), 500)) for _ in range(150)]
+    blocks = [r.sample(pool, r.randint(2, 6)) for _ in range(12)]
+    texts = []
+    for _ in range(60):
+        own = [" ".join(words_of(r, 8, 10**6)) for _ in range(r.randint(1, 8))]
+        for _ in range(r.randint(0, 2)):
+            at = r.randint(0, len(own))
+            own[at:at] = r.choice(blocks)
+        texts.append("\n".join(own + r.sample(pool, r.randint(0, 3))))
+    texts += [texts[3], "\n".join(reversed(texts[5].split("\n")))]
+    texts = ["\n".join(reversed(b)) for b in blocks] + texts  # earlier documents with the same lines scattered
+    lines = [[x for x in t.split("\n") if x] for t in texts]
+    df = {}
+    for t in lines:
+        for x in set(t):
+            df[x] = df.get(x, 0) + 1
+    out = {x["doc_id"]: {int(k) for k in x["deleted"].split(",") if k} for x in _op2(spark, docs_of(spark, texts)).collect()}
+    rare = {x for x, n in df.items() if n <= line_dedup.RARE and len(x.split()) >= line_dedup.EVIDENCE_WORDS}
+    code = {x: i for i, x in enumerate(df)}
+    few = missed = 0
+    for i, b in enumerate(lines):
+        every, first = set(), set()
+        for a in lines[:i]:
+            evidence = {code[x] for x in set(a) & set(b) & rare}
+            gone = set(line_dedup.common_blocks([code[x] for x in a], [code[x] for x in b], evidence, [len(x.split()) for x in b]))
+            every |= gone
+            first |= gone if evidence else set()
+        # All pairs by rare lines are there; blocks of frequent lines are aligned with their least holder.
+        assert first <= out[i] <= every, i
+        missed += len(every - out[i])
+        few += len(every)
+    assert few > 150 and missed <= 0.05 * few
+
+
+def _op2(spark, df):
+    lines = line_dedup._prepared(df)
+    out = lines.select("row.doc_id", "row").join(line_dedup.deletions(lines), "row", "left")
+    return out.select("doc_id", F.array_join(F.coalesce("gone", F.array().cast("array<int>")), ",").alias("deleted"))
+
+
+def test_line_dedup_on_odd_tables(spark):
+    block = [f"line number {i} of a block that is shared by some" for i in range(6)]
+    texts = ["\n".join(block[::-1]), "\n".join(["first", *block, "end"]), "\n".join(["other", *block, "tail"]), "\n".join(["again", *block]), "alone here", None, "\n".join(f"{i}" for i in range(20_000)) + "\n" + "\n".join(block)]
+    df = docs_of(spark, texts, [0, 1, 2, 2, 2, 2, 9]).withColumnsRenamed({"key": "gone", "n": "_id", "h": "_row0"})
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == df.columns
+    rows = sorted((x["doc_id"], x["text"]) for x in out.where("text IS NOT NULL").collect())
+    second = [x for x in rows if x[0] == 2]
+    assert sorted(len(t.split("\n")) for _, t in second) == [1, 1, 2] and out.where("text IS NULL").count() == 1
+    assert dict(rows)[9].count("\n") == 19_999
+
+
 def test_line_numbers_count_empty_lines(spark):
-    row = line_dedup.line_table(docs_of(spark, ["\n\na b\n\nc"]).select("doc_id", "text")).first()
+    row = line_dedup.line_table(docs_of(spark, ["\n\na b\n\nc"])).first()
     assert row["places"] == [2, 4] and row["words"] == [2, 1]
 
 
