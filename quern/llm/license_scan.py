@@ -11,7 +11,8 @@ Normalising keeps line ends; a paragraph's canonical form is its lines' forms
 joined by a space, and so is the entire text's.  All of it is DataFrame
 expressions, one pass over the text, and only digests reach the join.
 
-Defined cases: a null or empty text, or one of nothing but punctuation and
+Defined cases: results belong to rows, so rows with equal ids and other texts, and
+null ids, have their own; texts of any length count whole; a null or empty text, or one of nothing but punctuation and
 copyright lines, matches nothing (licence_id null, no notices); repeated rows
 each give a row (their notices are counted once a row); an empty table gives an
 empty one; known licences with equal canonical texts count as the one whose id
@@ -49,7 +50,30 @@ _ISC_BODY = (
 _ZERO_BSD_BODY = _ISC_BODY.replace(
     " granted, provided that the above copyright notice and this permission notice appear in all copies.", " granted."
 )
+_BSD_2_BODY = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met:\n"
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+    "disclaimer.\n"
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+    "following disclaimer in the documentation and/or other materials provided with the distribution.\n"
+)
+_BSD_3_CLAUSE = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission.\n"
+)
+_BSD_END = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, '
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+    "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+    "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE "
+    "OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
 KNOWN = [
+    ("BSD-2-Clause", _BSD_2_BODY + _BSD_END),
+    ("BSD-3-Clause", _BSD_2_BODY + _BSD_3_CLAUSE + _BSD_END),
     ("0BSD", _ZERO_BSD_BODY),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     (
@@ -131,6 +155,12 @@ def default_known(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(KNOWN, "licence_id string, text string")
 
 
+def known_from(spark: SparkSession, folder: str) -> DataFrame:
+    """Known licences from a folder with one whole text a file, named by its id (as in a list of public licences)."""
+    files = spark.read.text(folder, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    return files.select(F.regexp_extract("path", r"([^/]+?)(\.txt)?$", 1).alias("licence_id"), F.col("value").alias("text"))
+
+
 def scan(docs: DataFrame, known: DataFrame | None = None, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per matched unit: doc_id, scope (text, paragraph, line), at (its number within the scope), licence_id."""
     known = known_digests(known if known is not None else default_known(docs.sparkSession))
@@ -141,14 +171,16 @@ def scan(docs: DataFrame, known: DataFrame | None = None, id_column: str = "doc_
 
 def report(docs: DataFrame, known: DataFrame | None = None, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: licence_id of the entire text (or null), notices (licences found in it, sorted, comma-joined), n_notices (matched lines)."""
-    hits = scan(docs, known, id_column, text).distinct()
-    by_doc = hits.groupBy(id_column).agg(
+    key = F.struct(F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("id"), F.col(id_column).isNull().alias("none"), F.xxhash64(text).alias("hash"))
+    keyed = docs.select(F.col(id_column).alias("_id"), key.alias("_key"), F.col(text).alias("_text"))
+    hits = scan(keyed, known, "_key", "_text").distinct()
+    by_doc = hits.groupBy("_key").agg(
         F.max(F.when(F.col("scope") == "text", F.col("licence_id"))).alias("licence_id"),
         F.array_join(F.array_sort(F.collect_set("licence_id")), ",").alias("notices"),
         F.count_if(F.col("scope") == "line").alias("n_notices"),
     )
-    joined = docs.select(id_column).join(by_doc, id_column, "left")
-    return joined.select(id_column, "licence_id", F.coalesce("notices", F.lit("")).alias("notices"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"))
+    joined = keyed.select("_id", "_key").join(by_doc, "_key", "left")
+    return joined.select(F.col("_id").alias(id_column), "licence_id", F.coalesce("notices", F.lit("")).alias("notices"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,6 +169,36 @@ def test_copies_count_alike_on_both_sides_of_a_pattern(spark):
     assert [texts[210][s["start"] : s["end"]] for s in out[210]["added"]] == ["555-010-2233"]
 
 
+def test_what_a_round_finds_induces_patterns_in_the_next(spark):
+    texts = [f"please call me +1 555 010 {1000 + i} soon" for i in range(20)]
+    new = [f"(555) 013-{2000 + i}" for i in range(6)]
+    texts += [f"please call me {x} today" for x in new] * 2 + [f"hotline open {x} always" for x in new]
+    texts += ["hotline open 555 014 7777 tonight", "the total was 555 015 9999 units", " " * 3000 + "call me" + " " * 2500 + "555-016-1234", "x" * 5000 + " hotline open 555-017-1234"]
+    out = {r["doc_id"]: r for r in pii.extract(docs_of(spark, texts)).collect()}
+    found = lambda i: [texts[i][s["start"] : s["end"]] for s in out[i]["added"]]
+    n = len(texts)
+    assert all(found(i) for i in range(20, n - 4))  # recall of identifiers beside patterns of seeds
+    assert (found(n - 4), found(n - 3), found(n - 2), found(n - 1)) == (["555 014 7777"], [], ["555-016-1234"], ["555-017-1234"])
+
+
+def test_spans_and_licences_belong_to_rows(spark):
+    texts = [f"please call me +1 555 010 {1000 + i} soon" for i in range(20)] + ["please call me 555-010-2233 today", "unrelated", "please call me 555-010-2234 today", None]
+    df = spark.createDataFrame(list(zip([*range(20), 100, 100, None, None], texts)), "doc_id long, text string")
+    rows = [(r["doc_id"], len(r["added"])) for r in pii.extract(df).where("doc_id = 100 OR doc_id IS NULL").collect()]
+    assert sorted(rows, key=str) == sorted([(100, 1), (100, 0), (None, 1), (None, 0)], key=str)
+    mit = dict((i, t) for i, t in license_scan.KNOWN if len(t) > 500)["MIT"]
+    df = spark.createDataFrame([(1, mit), (1, "nothing here"), (None, mit), (None, None), (1, mit)], "doc_id long, text string")
+    rows = [(r["doc_id"], r["licence_id"]) for r in license_scan.report(df).collect()]
+    assert sorted(rows, key=str) == sorted([(1, "MIT"), (1, "MIT"), (1, None), (None, "MIT"), (None, None)], key=str)
+
+
+def test_known_licences_from_a_folder(spark, tmp_path):
+    (tmp_path / "Own-1.0.txt").write_text("Do as you like,\nbut do it well.")
+    known = license_scan.known_from(spark, str(tmp_path))
+    row = license_scan.report(docs_of(spark, ["DO AS YOU LIKE but do it well"]), known).first()
+    assert row["licence_id"] == "Own-1.0"
+
+
 # -- quality rules ---------------------------------------------------------------
 
 
