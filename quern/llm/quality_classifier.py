@@ -1,38 +1,41 @@
 """Quality classification by importance resampling.
 
-Two generative models of hashed n-grams - of a target (labelled good documents)
-and of the raw corpus (all documents) - give each document an importance weight,
-the ratio of its probabilities; ``k`` documents are then drawn without
-replacement in proportion to their weights by Gumbel top-k: the k largest of
-``log weight / TEMPERATURE + Gumbel noise``, the noise being a hash of the id.
-
-N-grams are single words and pairs of word shapes (kinds of the first and the
-last two characters, length up to three, whether the words are equal).  Each
-counts once a document, so a repetition inside one document is one observation.
-A bucket's log ratio is used where it is significant in the labelled documents
-(of those that share their least shingle hash one counts, so copies are one
-observation) and against the raw counts, and strong; else it is 0.  The ratio is
-relative to the median ratio of target n-grams, so long documents don't drift.
+Two generative models of hashed word n-grams - of a target (labelled good
+documents) and of the raw corpus (all documents), both with Laplace smoothing -
+give each document an importance weight, the ratio of its probabilities; ``k``
+documents are then drawn without replacement in proportion to their weights by
+Gumbel top-k: the k largest of ``log weight + Gumbel noise``, the noise being a
+hash of the id.
+
+N-grams are single words and pairs of words, every occurrence counted.  The log
+ratio is taken as the mean of the single words' plus ``PAIRS`` times the mean of
+the pairs', for a document of ``LENGTH`` words, so that a long text is no more or
+less probable for its length.  No n-gram is left out.
 
 Raw counts cover every document: each task sends its bucket sums, so the shuffle
 is bounded by tasks times buckets, and the model that is broadcast has a fixed
-number of buckets.  ``k`` is, unless given, the number of documents whose log
-weight is at least ``CLEAN``; the k-th key is found by counting keys in bins,
-narrowing to the bin that holds it, never by a global sort.
+number of buckets.  ``k`` is, unless given, the number of documents whose weight
+is one that ``RECALL`` of the target documents held back from the fit reach.  The
+k-th key is found by counting keys in bins, narrowing to the bin that holds it,
+never by a global sort.
 
 The fit reads at most ``most_labelled`` labelled documents (a documented bound;
-those with the least hash of their id), everything else all documents.
-
-Defined cases: a null or empty text has no n-grams and log weight 0; null labels
-don't count; a label whose document is missing neither; repeated rows are drawn
-on the same key; without any labelled target document every weight is 1; null
-ids get noise like the id 0; an empty table gives an empty one; other columns
-pass through.
+those with the least hash of their id, a quarter held back), everything else all
+documents.
+
+Defined cases: a null or empty text has no n-grams and log weight 0; texts of any
+length count whole; null labels don't count; a label whose document is missing
+neither; bad labels aren't needed; repeated rows are drawn on the same key, equal
+keys by id; without any labelled target document every log weight is 0 and all
+are drawn; null ids get noise like the id 0; an empty table gives an empty one;
+other columns pass through, but for ``log_weight`` and ``kept``, which are
+replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,140 +43,112 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .durable import durable
-from .textkernels import column_bytes, mix, pieces, runs, shingles
-
-BUCKETS = 1 << 18
-#: Pseudo-count of both models.
-PSEUDO = 1.0
-#: Standard deviations in the labelled and in the raw counts, and the least |log ratio|.
-SIGNIFICANT, STRONG = 5.0, 2.5
-#: Log weight from which a document counts towards k.
-CLEAN = -3.0
-TEMPERATURE = 0.5
+from .durable import drop_durable, durable
+from .textkernels import MIX_1, column_bytes, mix, pieces, runs
+
+#: Buckets of single words and of pairs.
+WORDS, PAIR_BUCKETS = 1 << 18, 1 << 14
+BUCKETS = WORDS + PAIR_BUCKETS
+PAIRS, LENGTH, RECALL = 0.3, 256, 0.97
 #: Keys are compared as integers in steps of one part in so many.
 STEPS = 1 << 20
 BINS = 1024
 
-# Kinds of bytes: 1 digit, 2 capital, 3 letter or part of a longer character, 4 stop or comma, 5 mark, 6 other.
-_KIND = np.full(256, 6, np.uint64)
-for _bytes, _kind in ((range(48, 58), 1), (range(65, 91), 2), (range(97, 123), 3), (range(128, 256), 3), (b".,", 4), (b"!?", 5)):
-    _KIND[list(_bytes)] = _kind
-
-
-def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, bucket, least shingle hash of each document); each pair of the first two is distinct."""
-    data, offsets = column_bytes(column)
-    start, end, words, first = runs(data, offsets, lower=True)
-    n = len(first) - 1
-    doc = np.repeat(np.arange(n), np.diff(first))
-    one = doc * (2 * BUCKETS) + (mix(words, 11) % np.uint64(BUCKETS)).astype(np.int64)
-    shape = ((_KIND[data[start]] * 8 + _KIND[data[end - 1]]) * 8 + _KIND[data[np.maximum(end - 2, start)]]) * 4 + np.minimum(end - start, 3).astype(np.uint64)
-    inside = np.flatnonzero(doc[1:] == doc[:-1]) if len(doc) else np.zeros(0, np.int64)
-    same = (words[inside] == words[inside + 1]).astype(np.uint64)
-    pair = mix((shape[inside] * 4096 + shape[inside + 1]) * 2 + same, 13) % np.uint64(BUCKETS)
-    two = doc[inside] * (2 * BUCKETS) + BUCKETS + pair.astype(np.int64)
-    key = np.unique(np.concatenate([one, two]))
-    least = np.zeros(n, np.uint64)
-    for i, (a, b) in enumerate(zip(first.tolist(), first[1:].tolist(), strict=False)):
-        if b > a:
-            least[i] = shingles(words[a:b], 5).min()
-    return key // (2 * BUCKETS), key % (2 * BUCKETS), least
+class Model(NamedTuple):
+    """The log ratio of every bucket, and the least log weight of a document that counts towards k."""
+
+    ratio: np.ndarray
+    least: float
+
+
+def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, bucket) of every single word, then (document, bucket) of every pair of words."""
+    _, _, words, first = runs(*column_bytes(column), lower=True)
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    inside = np.flatnonzero(doc[1:] == doc[:-1])
+    one = (mix(words, 11) % np.uint64(WORDS)).astype(np.int64)
+    two = (mix(words[inside] * np.uint64(MIX_1) + words[inside + 1], 13) % np.uint64(PAIR_BUCKETS)).astype(np.int64)
+    return doc, one, doc[inside], WORDS + two
+
+
+def weights(column: pa.Array, ratio: np.ndarray) -> np.ndarray:
+    """The log importance weight of each text."""
+    doc, one, doc2, two = features(column)
+    total = np.zeros(len(column))
+    for d, bucket, share in ((doc, one, 1.0), (doc2, two, PAIRS)):
+        n = np.bincount(d, minlength=len(column))
+        total += LENGTH * share * np.bincount(d, weights=ratio[bucket], minlength=len(column)) / np.maximum(n, 1)
+    return np.round(total, 9)
 
 
 def _bucket_counts(docs: DataFrame, text: str) -> DataFrame:
-    """bucket, n: in how many documents each bucket occurs; one sum for each task before the shuffle."""
+    """bucket, n: how often each bucket occurs; one sum for each task before the shuffle."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * BUCKETS, np.int64)
+        total = np.zeros(BUCKETS, np.int64)
         for batch in pieces(batches, text, 1 << 20):
-            total += np.bincount(features(batch.column(text))[1], minlength=2 * BUCKETS)
+            _, one, _, two = features(batch.column(text))
+            total += np.bincount(one, minlength=BUCKETS) + np.bincount(two, minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
 
     return docs.select(text).mapInArrow(work, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
-def _labelled_features(docs: DataFrame) -> DataFrame:
-    """doc_id, good, least, buckets of labelled documents (doc_id, good, text)."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 1 << 20):
-            doc, bucket, least = features(batch.column("text"))
-            counts = np.bincount(doc, minlength=batch.num_rows)
-            offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-            lists_ = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bucket))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("good"), pa.array(least.view(np.int64)), lists_], names=["doc_id", "good", "least", "buckets"])
-
-    return docs.mapInArrow(work, "doc_id long, good boolean, least long, buckets array<long>")
-
-
-def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 30_000, text: str = "text") -> np.ndarray:
-    """The log ratio of every bucket."""
-    labelled = labels.where("quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
+def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 30_000, text: str = "text") -> Model:
+    """The model of the target (labels with quality 1 and toxic 0) against all of ``docs``."""
+    labelled = labels.where("quality IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
     # The bound: labels are thinned by a hash of their id, in proportion to their number.
     n = labelled.count()
     if n > most_labelled:
         labelled = labelled.where(F.pmod(F.xxhash64(F.lit("label"), "doc_id"), F.lit(1 << 20)) < int((1 << 20) * most_labelled / n))
-    # Both broadcasts have about ``most_labelled`` rows of a few bytes at most.
-    labelled = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "good")
-    sample = _labelled_features(docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(labelled), "doc_id").select("doc_id", "good", "text"))
-    sample = durable(sample, "quality-labelled")
-    chosen = sample.groupBy("least").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    distinct = sample.join(F.broadcast(chosen), "doc_id", "left_semi")
-    sizes = {r["good"]: r["n"] for r in distinct.groupBy("good").agg(F.count(F.lit(1)).alias("n")).collect()}
-    good_docs, bad_docs = sizes.get(True, 0), sizes.get(False, 0)
-    if not good_docs or not bad_docs:
-        return np.zeros(2 * BUCKETS)
-    table = distinct.select("good", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
-    # Three counts for each of a fixed number of buckets; this size doesn't grow with the corpus.
-    counts = table.join(_bucket_counts(docs, text), "bucket", "full").fillna(0).toArrow()
-    target, bad, raw = (np.zeros(2 * BUCKETS) for _ in range(3))
+    back = F.pmod(F.xxhash64(F.lit("held back"), "doc_id"), F.lit(4)) == 0
+    # About ``most_labelled`` rows of two numbers at most.
+    target = F.broadcast(labelled.where("good").select("doc_id", back.alias("back")))
+    sample = durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).join(target, "doc_id").select("back", "text"), "quality-labelled")
+    good = _bucket_counts(sample.where("NOT back"), "text").withColumnRenamed("n", "good")
+    # Two counts for each of a fixed number of buckets; this size doesn't grow with the corpus.
+    counts = good.join(_bucket_counts(docs, text), "bucket", "full").fillna(0).toArrow()
+    target_n, raw_n = np.zeros(BUCKETS), np.zeros(BUCKETS)
     at = counts.column("bucket").to_numpy()
-    for name, array in (("good", target), ("bad", bad), ("n", raw)):
-        array[at] = counts.column(name).to_numpy()
-    ratio = np.zeros(2 * BUCKETS)
-    for part in (slice(0, BUCKETS), slice(BUCKETS, 2 * BUCKETS)):
-        ratio[part] = _log_ratio(target[part], bad[part], raw[part], good_docs / (good_docs + bad_docs))
+    target_n[at], raw_n[at] = counts.column("good").to_numpy(), counts.column("n").to_numpy()
+    ratio = log_ratio(target_n, raw_n)
+    least = float("-inf")
+    if ratio.any():
+        held = score(sample.where("back").select("text"), Model(ratio, least)).agg(F.percentile("log_weight", 1 - RECALL).alias("p")).first()["p"]
+        least = least if held is None else held
+    drop_durable(sample)
+    return Model(ratio, least)
+
+
+def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Log of the ratio of two Laplace-smoothed models of each kind of n-gram; all 0 where there is no target."""
+    ratio = np.zeros(BUCKETS)
+    for part in (slice(0, WORDS), slice(WORDS, BUCKETS)):
+        t, r = target[part], raw[part]
+        if t.sum():
+            ratio[part] = np.log((t + 1) / (t.sum() + len(t))) - np.log((r + 1) / (r.sum() + len(r)))
     return ratio
 
 
-def _log_ratio(target: np.ndarray, bad: np.ndarray, raw: np.ndarray, share: float) -> np.ndarray:
-    if not raw.sum() or not target.sum():
-        return np.zeros(len(raw))
-    expected = raw * target.sum() / raw.sum()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        own = np.where(expected > 0, target / expected, 0)
-    order = np.argsort(own, kind="stable")
-    upto = np.cumsum(target[order])
-    typical = own[order][np.searchsorted(upto, upto[-1] / 2)]
-    ratio = np.log((target + PSEUDO * typical) / (expected + PSEUDO) / typical)
-    both = target + bad
-    by_label = (target - both * share) / np.sqrt(both * share * (1 - share) + 1e-9)
-    by_raw = (target - typical * expected) / np.sqrt(typical * expected + 1)
-    return np.where((np.abs(by_label) > SIGNIFICANT) & (np.abs(by_raw) > SIGNIFICANT) & (np.abs(ratio) > STRONG), ratio, 0)
-
-
-def score(docs: DataFrame, ratio: np.ndarray, text: str = "text", log_weight: str = "log_weight") -> DataFrame:
+def score(docs: DataFrame, model: Model, text: str = "text", log_weight: str = "log_weight") -> DataFrame:
     """``docs`` and the log importance weight of each document."""
-    shared = docs.sparkSession.sparkContext.broadcast(ratio)
+    shared = docs.sparkSession.sparkContext.broadcast(model.ratio)
     out = [c for c in docs.columns if c != log_weight]
     schema = T.StructType([*(docs.schema[c] for c in out), T.StructField(log_weight, T.DoubleType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in pieces(batches, text, 1 << 20):
-            doc, bucket, _ = features(batch.column(text))
-            total = np.round(np.bincount(doc, weights=model[bucket], minlength=batch.num_rows).astype(np.float64), 9)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in out), pa.array(total)], names=[*out, log_weight])
+            made = weights(batch.column(text), shared.value)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in out), pa.array(made)], names=[*out, log_weight])
 
     return docs.mapInArrow(work, schema)
 
 
 def gumbel_key(log_weight: Column, id_column: Column, seed: int = 7) -> Column:
-    """The draw's key as a long: (log weight / TEMPERATURE + Gumbel noise), in steps."""
+    """The draw's key as a long: (log weight + Gumbel noise), in steps."""
     uniform = (F.pmod(F.xxhash64(F.lit(seed), F.coalesce(id_column, F.lit(0))), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    return F.floor((log_weight / TEMPERATURE - F.log(-F.log(uniform))) * STEPS).cast("long")
+    return F.floor((log_weight - F.log(-F.log(uniform))) * STEPS).cast("long")
 
 
 def _kth_key(keys: DataFrame, k: int) -> tuple[int, int]:
@@ -191,10 +166,10 @@ def _kth_key(keys: DataFrame, k: int) -> tuple[int, int]:
     return low, k - above
 
 
-def threshold(scored: DataFrame, k: int | None = None, id_column: str = "doc_id", seed: int = 7) -> tuple[int, int | None]:
+def threshold(scored: DataFrame, k: int | None = None, least: float = float("-inf"), id_column: str = "doc_id", seed: int = 7) -> tuple[int, int | None]:
     """The last of the k largest keys and the last id that is drawn with just that key (None: all)."""
     keyed = scored.select(id_column, "log_weight", gumbel_key(F.col("log_weight"), F.col(id_column), seed).alias("key"))
-    every, clean = keyed.agg(F.count(F.lit(1)), F.count_if(F.col("log_weight") >= CLEAN)).first()
+    every, clean = keyed.agg(F.count(F.lit(1)), F.count_if(F.col("log_weight") >= least)).first()
     k = clean if k is None else k
     if k <= 0:
         return 1 << 62, None
@@ -212,14 +187,15 @@ def drawn(scored: DataFrame, cut: tuple[int, int | None], id_column: str = "doc_
     return (key > cut[0]) | ((key == cut[0]) & tied)
 
 
-def resample(scored: DataFrame, k: int | None = None, id_column: str = "doc_id", seed: int = 7) -> DataFrame:
+def resample(scored: DataFrame, k: int | None = None, least: float = float("-inf"), id_column: str = "doc_id", seed: int = 7) -> DataFrame:
     """``scored`` (with log_weight) and ``kept``: drawn by Gumbel top-k; equal keys by id."""
-    return scored.withColumn("kept", drawn(scored, threshold(scored, k, id_column, seed), id_column, seed))
+    return scored.withColumn("kept", drawn(scored, threshold(scored, k, least, id_column, seed), id_column, seed))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log weight and draw of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = durable(score(docs, fit(docs, labels)).select("doc_id", "log_weight"), "quality-scores")
-    return resample(scored)
+    model = fit(docs, labels)
+    scored = durable(score(docs, model).select("doc_id", "log_weight"), "quality-scores")
+    return resample(scored, least=model.least)

@@ -332,10 +332,10 @@ def test_classifier_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     seen = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
-    ratio = quality_classifier.fit(docs, labels.where(seen))
-    held = quality_classifier.resample(quality_classifier.score(docs, ratio).select("doc_id", "log_weight")).join(labels.where(~seen), "doc_id")
+    model = quality_classifier.fit(docs, labels.where(seen))
+    held = quality_classifier.resample(quality_classifier.score(docs, model).select("doc_id", "log_weight"), least=model.least).join(labels.where(~seen), "doc_id")
     by = {(x["quality"], x["toxic"]): x["kept"] for x in held.groupBy("quality", "toxic").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
-    assert by[1, 0] > 0.97 and by[0, 0] < 0.15 and by[1, 1] < 0.45  # a third of the toxic labels are wrong
+    assert by[1, 0] > 0.95 and by[0, 0] < 0.08 and by[1, 1] < 0.55  # a third of the toxic labels are wrong
 
 
 def test_top_k_equals_sorting(spark):
@@ -350,19 +350,39 @@ def test_top_k_equals_sorting(spark):
 
 
 def test_classifier_on_odd_tables(spark):
-    df = docs_of(spark, ["a b", None, "", "a b"])
+    df = docs_of(spark, ["a b", None, "", "a b", "a b " * 300_000]).withColumnsRenamed({"key": "log_weight", "h": "kept"})
     labels = spark.createDataFrame([(0, 1, 0), (9, 0, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
     for some in (labels, labels.where("false")):
-        ratio = quality_classifier.fit(df, some)
-        out = quality_classifier.resample(quality_classifier.score(df, ratio))
-        assert out.count() == 4 and out.where("kept").count() == 4
+        model = quality_classifier.fit(df, some)
+        out = quality_classifier.resample(quality_classifier.score(df, model), least=model.least)
+        assert out.count() == 5 and out.where("kept").count() == 5 and sorted(out.columns) == sorted(df.columns)
     empty = df.where("false")
-    assert quality_classifier.resample(quality_classifier.score(empty, ratio)).count() == 0
-
-
-def test_features_count_once_a_document():
-    doc, bucket, least = quality_classifier.features(pa.array(["a a a a", None, "b"]))
-    assert len(set(zip(doc.tolist(), bucket.tolist()))) == len(doc) and doc.tolist().count(0) == 2 and 1 not in doc and least[1] == 0
+    assert quality_classifier.resample(quality_classifier.score(empty, model)).count() == 0
+
+
+def test_weights_equal_brute_force(spark):
+    import math
+
+    r = random.Random(21)
+    texts = [" ".join(words_of(r, r.randint(1, 30), 12)) for _ in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 5 == 0)) for i in range(40)], "doc_id long, quality int, toxic int")
+    df = docs_of(spark, texts)
+    model = quality_classifier.fit(df, labels)
+    back = {x["doc_id"] for x in labels.where(F.pmod(F.xxhash64(F.lit("held back"), "doc_id"), F.lit(4)) == 0).collect()}
+    fitted = [t.split() for i, t in enumerate(texts) if i < 40 and i % 3 > 0 and i % 5 and i not in back]
+    every = [t.split() for t in texts]
+    tables = []
+    for n, size in ((1, quality_classifier.WORDS), (2, quality_classifier.PAIR_BUCKETS)):
+        grams = lambda docs: [tuple(d[i : i + n]) for d in docs for i in range(len(d) - n + 1)]  # noqa: B023, E731
+        t, w = grams(fitted), grams(every)
+        tables.append({g: math.log((t.count(g) + 1) / (len(t) + size)) - math.log((w.count(g) + 1) / (len(w) + size)) for g in set(w)})
+    off = 0
+    for x in quality_classifier.score(df, model).collect():
+        d = texts[x["doc_id"]].split()
+        one, two = ([t[tuple(d[i : i + n])] for i in range(len(d) - n + 1)] for n, t in zip((1, 2), tables))
+        want = 256 * (sum(one) / max(1, len(one)) + 0.3 * sum(two) / max(1, len(two)))
+        off += abs(want - x["log_weight"]) > 1e-6
+    assert off <= 12  # pairs of words that share one of the hashed buckets
 
 
 # -- pipeline ----------------------------------------------------------------------------
