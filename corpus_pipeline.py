@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir), works on all rows it gets and returns a
 DataFrame; ``run`` writes it as Parquet to the session's shared folder and reads
 it again for the next stage.
+
+Defined cases, beyond those of the operators: null texts stay until the last stage,
+which gives them no ids; null ids are never near copies and stay; rows of one id
+are judged each by its own text; an empty table runs through as one; further
+columns, of any name, pass all stages but the last.
 """
 
 from __future__ import annotations
@@ -17,8 +22,9 @@ from quern.llm.durable import durable
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn by importance resampling; the others go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = quality_classifier.score(docs, quality_classifier.fit(docs, labels))
-    cut = quality_classifier.threshold(durable(scored.select("doc_id", "log_weight"), "quality-scores"))
+    model = quality_classifier.fit(docs, labels)
+    scored = quality_classifier.score(docs, model)
+    cut = quality_classifier.threshold(durable(scored.select("doc_id", "log_weight"), "quality-scores"), least=model.least)
     return scored.where(quality_classifier.drawn(scored, cut)).select(*docs.columns)
 
 
@@ -28,10 +34,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the least id."""
-    groups = ngram_join.join_components(docs, width=5, percent=80)
-    first = durable(groups.where("doc_id = component_id").select("doc_id").distinct(), "near-first")
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each group of near copies: that of the least id.
+
+    Rows with a null id, or one that isn't a number, belong to no group and stay; rows of one id stay together.
+    """
+    own = F.col("doc_id").cast("long")
+    groups = ngram_join.join_components(docs.where(own.isNotNull()), width=5, percent=80)
+    # Rows, not ids, are in groups: an id stays where any of its rows leads a group.
+    first = durable(groups.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct(), "near-first")
+    return docs.join(first, own == first["_first"], "left_semi").unionByName(docs.where(own.isNull()))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
