@@ -78,8 +78,9 @@ def first_unequal(a: Column, b: Column, start: int = 0) -> Column:
     """First index from ``start`` on where a and b differ, else the shorter length."""
     n = F.least(F.length(a), F.length(b))
     x, y = unsigned_bytes(a), unsigned_bytes(b)
-    differ = F.filter(F.sequence(F.lit(0), n), lambda i: (i >= start) & (i < n) & (F.get(x, i) != F.get(y, i)))
-    return F.coalesce(F.get(differ, F.lit(0)), n).cast("int")
+    rest = lambda v: F.slice(v, F.lit(start + 1), F.greatest(n - start, F.lit(0)))
+    at = F.array_position(F.zip_with(rest(x), rest(y), lambda p, q: p != q), F.lit(True))
+    return F.when(at > 0, at - 1 + start).otherwise(n).cast("int")
 
 
 def _first_index(b: Column, test: Callable) -> Column:
@@ -169,10 +170,10 @@ def packed_nibble_lookup(b: Column, table: list[int], n: Column | None = None) -
 
 def bit_of_every_byte(b: Column, bit: int) -> Column:
     """Bit ``bit`` of each byte, packed eight to a byte, lowest first."""
-    bits = F.transform(unsigned_bytes(b), lambda x: F.shiftright(x, bit).bitwiseAND(F.lit(1)))
+    eight = lambda g: unsigned_bytes(F.substring(b, g * 8 + 1, F.lit(8)))
     groups = F.transform(
         F.sequence(F.lit(0), F.floor((F.length(b) - 1) / 8).cast("int")),
-        lambda g: F.aggregate(F.slice(bits, g * 8 + 1, F.lit(8)), F.struct(F.lit(0).alias("v"), F.lit(1).alias("p")), lambda a, x: F.struct((a["v"] + x * a["p"]).alias("v"), (a["p"] * 2).alias("p")), lambda a: a["v"]),
+        lambda g: F.aggregate(eight(g), F.struct(F.lit(0).alias("v"), F.lit(1).alias("p")), lambda a, x: F.struct((a["v"] + F.shiftright(x, bit).bitwiseAND(F.lit(1)) * a["p"]).alias("v"), (a["p"] * 2).alias("p")), lambda a: a["v"]),
     )
     return F.when(F.length(b) == 0, F.lit(b"")).otherwise(pack(groups))
 

@@ -114,7 +114,7 @@ def format_size(n: Column) -> Column:
     """'512B', '1.5KiB' and so on, one decimal from KiB on, ties to even."""
     out = F.concat(n.cast("string"), F.lit("B"))
     for k in range(1, len(UNITS)):
-        out = F.when(n >= 1 << (10 * k), F.concat(F.format_string("%.1f", F.bround(n / float(1 << (10 * k)), 1)), F.lit(UNITS[k]))).otherwise(out)
+        out = F.when(F.abs(n) >= 1 << (10 * k), F.concat(F.format_string("%.1f", F.bround(n / float(1 << (10 * k)), 1)), F.lit(UNITS[k]))).otherwise(out)
     return out
 
 

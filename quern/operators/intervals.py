@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RATIO = 8
-LEVELS = 8
+#: Levels of buckets; the longest are of 2^60 and more for a width of 64.
+LEVELS = 19
 
 
 def intersects(start: Column, limit: Column, other_start: Column, other_limit: Column) -> Column:
@@ -41,7 +42,7 @@ def _own_level(start: str, limit: str, width: int) -> Column:
     length = F.col(limit) - F.col(start)
     own = F.lit(0)
     for k in range(1, LEVELS):
-        own = F.when(length > width * RATIO ** (k - 1), F.lit(k)).otherwise(own)
+        own = F.when(length > min(width * RATIO ** (k - 1), 1 << 62), F.lit(k)).otherwise(own)
     return own
 
 
@@ -54,7 +55,7 @@ def _used_levels(df: DataFrame) -> list[int]:
 def _placed(df: DataFrame, start: str, limit: str, width: int, levels: Column, first: str) -> DataFrame:
     """A row for each of ``levels`` and bucket there that an interval touches."""
     df = df.withColumn("_level", F.explode(levels))
-    size = F.element_at(F.array(*(F.lit(width * RATIO**k).cast("long") for k in range(LEVELS))), F.col("_level") + 1)
+    size = F.element_at(F.array(*(F.lit(min(width * RATIO**k, 1 << 62)).cast("long") for k in range(LEVELS))), F.col("_level") + 1)
     begin, end = F.floor(F.col(start) / size), F.floor((F.col(limit) - 1) / size)
     return df.withColumn("_bucket", F.explode(F.sequence(begin, end))).withColumn(first, begin).drop("_own")
 
@@ -82,17 +83,33 @@ def overlap_join(a: DataFrame, b: DataFrame, a_start: str, a_limit: str, b_start
     return met
 
 
-def compact(df: DataFrame, start: str, limit: str, keys: list[str] | None = None, width: int = 1 << 16) -> DataFrame:
+#: Ranges of starts in which intervals without keys are compacted.
+RANGES = 256
+
+
+def compact(df: DataFrame, start: str, limit: str, keys: list[str] | None = None) -> DataFrame:
     """keys, start, limit of the union's maximal intervals; touching ones merge.
 
-    Without keys the line is cut into stretches that are compacted first, so the
-    single ordered pass at the end sees few rows of each.
+    Without keys, starts are cut into ranges of about equal numbers of rows.  Each
+    range gets the greatest limit before it, so that its islands are known on their
+    own, and islands are numbered through by counts of ranges; only one row a range
+    meets in one place.
     """
     rows = df.where(F.col(start) < F.col(limit)).select(*(keys or []), F.col(start).alias("start"), F.col(limit).alias("limit"))
     if keys:
         return _islands(rows, keys)
-    parts = rows.withColumn("_stretch", F.floor(F.col("start") / width))
-    return _islands(_islands(parts, ["_stretch"]).drop("_stretch").withColumn("_all", F.lit(0)), ["_all"]).drop("_all")
+    # One row of RANGES numbers, so this is no cross product.
+    cuts = rows.agg(F.array_distinct(F.percentile_approx("start", [k / RANGES for k in range(1, RANGES)], 1 << 12)).alias("_cuts"))
+    placed = rows.crossJoin(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= F.col("start")))).drop("_cuts")
+    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows
+    before = placed.groupBy("_range").agg(F.max("limit").alias("_most")).select("_range", F.max("_most").over(upto).alias("_carry"))
+    order = Window.partitionBy("_range").orderBy("start", "limit")
+    reach = F.greatest(F.max("limit").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carry"))
+    marked = placed.join(F.broadcast(before), "_range").withColumn("_new", (F.col("start") > F.coalesce(reach, F.col("start") - 1)).cast("long"))
+    numbered = marked.withColumn("_own", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    made = marked.groupBy("_range").agg(F.sum("_new").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_base"))
+    islands = numbered.join(F.broadcast(made), "_range").groupBy((F.col("_base") + F.col("_own")).alias("_island"))
+    return islands.agg(F.min("start").alias("start"), F.max("limit").alias("limit")).drop("_island")
 
 
 def _islands(rows: DataFrame, keys: list[str]) -> DataFrame:

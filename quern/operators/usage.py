@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The file name and line formats of a feed.
-FILE_NAME = r"^([0-9]{12})\.([0-9]{4}-[0-9]{2}-[0-9]{2}-[0-9]{2})\.([0-9]{3})\.[A-Za-z0-9]{8}(\.gz)?$"
+FILE_NAME = r"^([0-9]{12})\.([0-9]{4}-[0-9]{2}-[0-9]{2}-[0-9]{2})\.([0-9]{3})\.[a-z0-9]{8}(\.gz)?$"
 LINE_COLUMNS = ("timestamp", "usage_type", "operation", "instance_id", "my_bid_id", "my_max_price", "market_price", "charge", "version")
 DEFAULT_INSTANCE = "m1.small"
 

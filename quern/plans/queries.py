@@ -313,10 +313,10 @@ def canonical_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", D.canonical_hash(D.little_endian(F.col("o_custkey"), 8), D.encode_string(F.col("o_orderpriority"))).alias("h"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN v < 1024 THEN v::VARCHAR || 'B' WHEN v < 1048576 THEN printf('%.1fKiB', v / 1024.0) WHEN v < 1073741824 THEN printf('%.1fMiB', v / 1048576.0) ELSE printf('%.1fGiB', v / 1073741824.0) END AS size
-FROM (SELECT o_orderkey, o_orderkey * o_custkey AS v FROM orders)""")
+@query("""SELECT o_orderkey, CASE WHEN abs(v) < 1024 THEN v::VARCHAR || 'B' WHEN abs(v) < 1048576 THEN printf('%.1fKiB', v / 1024.0) WHEN abs(v) < 1073741824 THEN printf('%.1fMiB', v / 1048576.0) ELSE printf('%.1fGiB', v / 1073741824.0) END AS size
+FROM (SELECT o_orderkey, o_orderkey * o_custkey * CASE WHEN o_orderkey % 2 = 0 THEN -1 ELSE 1 END AS v FROM orders)""")
 def size_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", D.format_size(F.col("o_orderkey") * F.col("o_custkey")).alias("size"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", D.format_size(F.col("o_orderkey") * F.col("o_custkey") * F.when(F.col("o_orderkey") % 2 == 0, -1).otherwise(1)).alias("size"))
 
 
 @query("SELECT event_id, epoch_ms(ts) - epoch_ms(ts) % 604800000 AS week_ms, epoch_us(date_trunc('hour', ts)) AS hour_us FROM events")
@@ -334,7 +334,7 @@ def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- events, state, files ------------------------------------------------------
 
 
-@query("""SELECT event_type, count(*) AS n, sum(user_id)::BIGINT AS bytes, """ + ", ".join(f"count(*) FILTER (event_id % 10 >= {r}) AS retries_{r}" for r in (1, 2, 4, 8)) + ", " + ", ".join(f"count(*) FILTER (value >= {m}) AS over_{m}_ms" for m in (1, 10, 100, 1000, 10000, 100000)) + """, count(*) / 60.0::DOUBLE AS per_minute, sum(user_id)::BIGINT / 60.0::DOUBLE AS bytes_per_minute FROM events GROUP BY event_type""")
+@query("""SELECT event_type, count(*) AS n, sum(user_id)::BIGINT AS bytes, """ + "count(*) FILTER (r = 1) AS retries_1, count(*) FILTER (r IN (2, 3)) AS retries_2, count(*) FILTER (r BETWEEN 4 AND 7) AS retries_4, count(*) FILTER (r >= 8) AS retries_8, count(*) FILTER (value <= 1) AS fast, " + ", ".join(f"count(*) FILTER (value > {m} AND ({m} = 100000 OR value <= {10 * m})) AS over_{m}_ms" for m in (1, 10, 100, 1000, 10000, 100000)) + """, count(*) / 60.0::DOUBLE AS per_minute, sum(user_id)::BIGINT / 60.0::DOUBLE AS bytes_per_minute FROM (SELECT *, event_id % 10 AS r FROM events) GROUP BY event_type""")
 def operation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("retries", F.col("event_id") % 10)
     return state.operation_metrics(e, "event_type", "user_id", "retries", "value", 60.0)
@@ -349,7 +349,7 @@ def state_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.restore(log, ["user_id"]).select("user_id", "off", "typ")
 
 
-@query("SELECT l_orderkey, l_linenumber AS idx FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS rn FROM lineitem) WHERE rn = l_linenumber")
+@query("SELECT l_orderkey, l_linenumber AS idx FROM (SELECT *, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS rn FROM lineitem) WHERE rn = l_linenumber")
 def ordered_release(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") - 1).alias("index"))
     return state.released(li, keys=["l_orderkey"]).select("l_orderkey", (F.col("index") + 1).alias("idx"))

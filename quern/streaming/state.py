@@ -39,10 +39,16 @@ def live(df: DataFrame, now: Column, ttl_seconds: int, set_at: str = "set_at") -
     return last.where(F.col(set_at) + F.expr(f"INTERVAL {ttl_seconds} SECONDS") > now)
 
 
-def released(df: DataFrame, index: str = "index", keys: list[str] | None = None) -> DataFrame:
-    """Items that an ordered queue lets go: those of each key whose indices have no gap from 0 on."""
+def released(df: DataFrame, index: str = "index", keys: list[str] | None = None, last: str | None = None) -> DataFrame:
+    """Items that an ordered queue lets go: those of each key whose indices have no gap from 0 on.
+
+    Of repeats of an index the one with the greatest ``last`` goes, or all where no column is named.
+    """
+    if last:
+        newest = Window.partitionBy(*(keys or []), index).orderBy(F.desc(last))
+        df = df.withColumn("_newest", F.row_number().over(newest)).where("_newest = 1").drop("_newest")
     order = Window.partitionBy(*(keys or [])).orderBy(index)
-    return df.withColumn("_at", F.row_number().over(order) - 1).where(F.col("_at") == F.col(index)).drop("_at")
+    return df.withColumn("_at", F.dense_rank().over(order) - 1).where(F.col("_at") == F.col(index)).drop("_at")
 
 
 def restore(log: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -60,10 +66,15 @@ def restore(log: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def operation_metrics(df: DataFrame, op: str, n_bytes: str, retries: str, millis: str, minutes: float) -> DataFrame:
-    """Counts, bytes, histograms of retries and durations, and rates a minute, of each operation."""
-    edges = (1, 10, 100, 1_000, 10_000, 100_000)
-    hist = [F.count_if(F.col(retries) >= r).alias(f"retries_{r}") for r in (1, 2, 4, 8)]
-    hist += [F.count_if(F.col(millis) >= m).alias(f"over_{m}_ms") for m in edges]
+    """Counts, bytes, histograms of retries and durations, and rates a minute, of each operation.
+
+    Classes exclude each other: ``retries_2`` has those of 2 and 3 retries, ``over_10_ms``
+    those over 10 and up to 100 ms, and ``fast`` those of up to 1 ms.
+    """
+    r, m = F.col(retries), F.col(millis)
+    hist = [F.count_if((r >= low) & (r < high)).alias(f"retries_{low}") for low, high in ((1, 2), (2, 4), (4, 8))] + [F.count_if(r >= 8).alias("retries_8")]
+    hist += [F.count_if(m <= 1).alias("fast")]
+    hist += [F.count_if((m > low) & (m <= 10 * low)).alias(f"over_{low}_ms") for low in (1, 10, 100, 1_000, 10_000)] + [F.count_if(m > 100_000).alias("over_100000_ms")]
     out = df.groupBy(op).agg(F.count(F.lit(1)).alias("n"), F.sum(n_bytes).alias("bytes"), *hist)
     return out.withColumn("per_minute", F.col("n") / minutes).withColumn("bytes_per_minute", F.col("bytes") / minutes)
 

@@ -67,3 +67,12 @@ def test_digests_and_paths(spark):
 def test_little_endian_and_sizes(spark):
     row = spark.range(1).select(D.little_endian(F.lit(-2), 8).alias("a"), D.little_endian(F.lit(258), 2).alias("b"), D.format_size(F.lit(1536)).alias("s"), D.format_size(F.lit(5)).alias("t"), D.coarse_time(F.lit(-1)).alias("w")).first()
     assert bytes(row["a"]) == (-2).to_bytes(8, "little", signed=True) and bytes(row["b"]) == b"\x02\x01" and (row["s"], row["t"], row["w"]) == ("1.5KiB", "5B", 0)
+
+
+def test_sizes_below_zero_and_first_unequal_from_a_start(spark):
+    from quern.functions import bytesfn, digestfn
+
+    row = spark.createDataFrame([(-2048, bytearray(b"abcdef"), bytearray(b"axcdeg"))], "n long, a binary, b binary").select(
+        digestfn.format_size(F.col("n")).alias("size"), bytesfn.first_unequal(F.col("a"), F.col("b")).alias("x"), bytesfn.first_unequal(F.col("a"), F.col("b"), 2).alias("y"), bytesfn.first_unequal(F.col("a"), F.col("b"), 9).alias("z")
+    ).first()
+    assert tuple(row) == ("-2.0KiB", 1, 5, 6)

@@ -42,7 +42,7 @@ def test_compact_over_stretches(spark):
     r = random.Random(5)
     rows = [(s := r.randint(0, 3000), s + r.randint(0, 40)) for _ in range(300)]
     covered = sorted({x for a, b in rows for x in range(a, b)})
-    out = intervals.compact(spark.createDataFrame(rows, "start long, limit long"), "start", "limit", width=100).orderBy("start").collect()
+    out = intervals.compact(spark.createDataFrame(rows, "start long, limit long"), "start", "limit").orderBy("start").collect()
     assert [x for r_ in out for x in range(r_["start"], r_["limit"])] == covered
     assert all(a["limit"] < b["start"] for a, b in zip(out, out[1:]))
 
@@ -57,3 +57,27 @@ def test_advice(spark, tmp_path):
     assert [r[0] for r in advisor.filter_candidates(some, advice, F.col("os") == "Linux", 2).collect()] == ["x"]
     wanted = spark.createDataFrame([("q", "Linux", "x"), ("r", "BSD", "x"), ("r", "Linux", "q"), ("r", "Linux", "y")], "region string, os string, instance string")
     assert sorted((r["problem"] or "", r["bucket"] or -1) for r in advisor.lookup(advice, wanted).collect()) == [("", 3), ("no such instance", -1), ("no such os", -1), ("no such region", -1)]
+
+
+def test_compact_without_keys_equals_brute_force(spark):
+    import random
+
+    r = random.Random(5)
+    rows = [(s, s + r.choice([0, 1, 3, 50, 4000])) for s in (r.randrange(10**6) for _ in range(3000))] + [(7, 7), (0, 2)]
+    got = sorted(map(tuple, intervals.compact(spark.createDataFrame(rows, "s long, e long"), "s", "e").select("start", "limit").collect()))
+    want = []
+    for s, e in sorted(x for x in rows if x[0] < x[1]):
+        if want and s <= want[-1][1]:
+            want[-1][1] = max(want[-1][1], e)
+        else:
+            want.append([s, e])
+    assert got == [tuple(x) for x in want]
+    assert intervals.compact(spark.createDataFrame(rows, "s long, e long").where("false"), "s", "e").count() == 0
+
+
+def test_very_long_intervals_take_few_buckets(spark):
+    year = 366 * 24 * 3600 * 10**6
+    a = spark.createDataFrame([(1, 0, year), (2, 5, 6)], "x long, a_s long, a_e long")
+    b = spark.createDataFrame([(1, year - 1, 3 * year), (2, 5, 7)], "y long, b_s long, b_e long")
+    got = {(r["x"], r["y"]) for r in intervals.overlap_join(a, b, "a_s", "a_e", "b_s", "b_e").collect()}
+    assert got == {(1, 1), (1, 2), (2, 2)}

@@ -5,6 +5,7 @@ from quern.operators import usage
 
 MINUTE = 60_000_000
 NOW = 1_700_000_000_000_000
+# Conformance cases whose results must match.
 ENTRIES = [(-60, 60), (0, 110), (0, 120), (59, 80), (59, 90), (121, 120), (180, 88), (180, 89), (180, 90), (180, 90)]
 END = 210
 # (terminated, start, end) -> (start, end, charge) in minutes, or None for missing data
