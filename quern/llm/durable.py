@@ -2,7 +2,7 @@
 
 Intermediate results are written as Parquet below the shared folder that the
 cluster names in ``spark.checkpoint.dir`` and read back.  Where the session
-names none (tests on one machine), a folder under Spark's warehouse is used and
+names none on one machine (tests), a folder under Spark's warehouse is used and
 remembered in the session, so it is never a task's temporary folder.
 """
 
@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session, without a trailing slash."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_durable"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .durable import durable
+from .durable import drop_durable, durable
 from .textkernels import MIX_1, column_bytes, mix, pieces, runs
 
 KINDS = ("email", "ip", "card", "phone")
@@ -224,6 +224,8 @@ def bootstrap(docs: DataFrame, found: DataFrame) -> DataFrame:
     totals = _occurrences(docs, wanted)
     patterns = durable(supported.join(totals, "pattern", "left").select("pattern", "kind", F.greatest(F.coalesce("occurrences", F.lit(0)), "seen").alias("total")), "pii-totals")
     live = durable(edges.join(patterns, ["pattern", "kind"]).groupBy("pattern", "kind", "instance").agg(F.max(F.col("seed").cast("double")).alias("seed"), F.sum("n").alias("n"), F.max("total").alias("total")), "pii-live")
+    for table in (edges, supported, patterns):
+        drop_durable(table)
     trust = live.groupBy("instance", "kind").agg(F.max("seed").alias("trust"))
     for _ in range(ROUNDS):
         # One more occurrence than seen keeps a pattern short of certainty.

@@ -115,7 +115,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 30_000, text: s
     ratio = log_ratio(target_n, raw_n)
     least = float("-inf")
     if ratio.any():
-        held = score(sample.where("back").select("text"), Model(ratio, least)).agg(F.percentile("log_weight", 1 - RECALL).alias("p")).first()["p"]
+        held = score(sample.where("back").select("text"), Model(ratio, least)).agg(F.percentile_approx("log_weight", 1 - RECALL, 10_000).alias("p")).first()["p"]
         least = least if held is None else held
     drop_durable(sample)
     return Model(ratio, least)
