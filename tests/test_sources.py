@@ -3,7 +3,9 @@ import gzip
 import io
 import json
 import random
+import struct
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,7 +45,89 @@ def test_corrupt_record_file_is_an_error(spark, tmp_path):
         spark.read.format("recordfile").load(str(tmp_path / "f")).collect()
 
 
-SCHEMA = T.StructType([T.StructField("key", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("ok", T.BooleanType()), T.StructField("x", T.DoubleType())])
+def _saved(spark, out, values, **options):
+    df = spark.createDataFrame([(f"k{i}".encode(), v) for i, v in enumerate(values)], "key binary, value binary").coalesce(1)
+    df.write.format("recordfile").mode(options.pop("mode", "append")).options(**options).save(str(out))
+    return spark.read.format("recordfile").option("shardBytes", 1).load(str(out))
+
+
+def test_record_filters_reach_the_reader(spark, tmp_path):
+    recordfile.register(spark)
+    read = _saved(spark, tmp_path / "rec", [bytes([i]) * 40_000 for i in range(12)], maxItems=1)
+    blocks = sorted({r["block"] for r in read.select("block").collect()})
+    assert len(blocks) == 6
+    got = read.where(F.col("block").isin(blocks[1], blocks[4], 7)).select("item", "value")
+    assert sorted(bytes(r["value"])[0] for r in got.collect()) == [2, 3, 8, 9]
+    assert got.rdd.getNumPartitions() == 3  # the two blocks' shards and the file's first
+    path = read.first()["path"]
+    assert read.where((F.col("path") == path) & (F.col("block") == blocks[5])).count() == 2
+    assert read.where(F.col("path") == "elsewhere").count() == 0
+
+
+def test_record_overwrite_leaves_the_new_files_alone(spark, tmp_path):
+    recordfile.register(spark)
+    _saved(spark, tmp_path / "rec", [b"old"])
+    assert [bytes(r["value"]) for r in _saved(spark, tmp_path / "rec", [b"new"], mode="overwrite").collect()] == [b"new"]
+    assert _saved(spark, tmp_path / "rec", [b"more"]).count() == 2
+    assert not [p for p in (tmp_path / "rec").iterdir() if p.name.startswith("_job")]
+
+
+def test_record_transformers_of_ones_own(spark, tmp_path):
+    swap = lambda config: lambda data: bytes(b ^ int(config or 1) for b in data)
+    recordfile.register(spark, {"swap": (swap, swap)})
+    read = _saved(spark, tmp_path / "rec", [b"abc", b""], transform=json.dumps(["flate", "swap 7"]))
+    assert [bytes(r["value"]) for r in read.orderBy("item").collect()] == [b"abc", b""]
+    recordfile.register(spark)
+    with pytest.raises(Exception, match="unknown transformer swap"):
+        read = spark.read.format("recordfile").load(str(tmp_path / "rec")).collect()
+    with pytest.raises(ValueError, match="registered already"):
+        recordfile.register(spark, {"zstd": (swap, swap)})
+
+
+def test_record_index_finds_items(spark, tmp_path):
+    recordfile.register(spark)
+    values = [f"value {i}".encode() * 3000 for i in range(9)]
+    _saved(spark, tmp_path / "rec", values, maxItems=3, transform="zstd", index=str(tmp_path / "idx"))
+    index = spark.read.parquet(str(tmp_path / "idx"))
+    assert index.count() == 9
+    chosen = index.where(F.col("key").isin(b"k1", b"k6", b"k8"))
+    got = recordfile.read_items(chosen.union(chosen)).join(index, ["path", "block", "item"])
+    assert sorted((bytes(r["key"]), bytes(r["value"])) for r in got.collect()) == [(f"k{i}".encode(), values[i]) for i in (1, 6, 8)]
+    with pytest.raises(Exception, match="no item 99"):
+        recordfile.read_items(chosen.withColumn("item", F.lit(99))).collect()
+
+
+def _old(magic, data):
+    size = struct.pack("<Q", len(data))
+    return magic + size + struct.pack("<I", zlib.crc32(size)) + data
+
+
+def _old_packed(items, change=lambda b: b):
+    sizes = recordfile.put_varint(len(items)) + b"".join(recordfile.put_varint(len(i)) for i in items)
+    return _old(recordfile.BODY_MAGIC, struct.pack("<I", zlib.crc32(sizes)) + sizes + change(b"".join(items)))
+
+
+def test_record_files_of_the_first_version(spark, tmp_path):
+    recordfile.register(spark)
+    flate = recordfile.TRANSFORMERS["flate"][0]("")
+    (tmp_path / "a.rio").write_bytes(_old(recordfile.PLAIN_MAGIC, b"one") + _old(recordfile.PLAIN_MAGIC, b"") + _old(recordfile.PLAIN_MAGIC, b"x" * 90_000))
+    (tmp_path / "b.rpk").write_bytes(_old_packed([b"two", b"", b"three"]) + _old_packed([b"four"]))
+    (tmp_path / "c.x-rpk-gz").write_bytes(_old_packed([b"five" * 50, b"six"], flate))
+    read = spark.read.format("recordfile").option("shardBytes", 1).load(str(tmp_path))
+    got = [bytes(r["value"]) for r in read.orderBy("path", "block", "item").collect()]
+    assert got == [b"one", b"", b"x" * 90_000, b"two", b"", b"three", b"four", b"five" * 50, b"six"]
+    at = read.where(F.col("value") == b"four").first()
+    assert (at["block"] > 0, at["item"]) == (True, 0)
+    assert [bytes(r["value"]) for r in recordfile.read_items(read.where(F.col("value") == b"four")).collect()] == [b"four"]
+    assert [bytes(r["value"]) for r in read.where((F.col("path") == at["path"]) & (F.col("block") == at["block"])).collect()] == [b"four"]
+    assert spark.read.format("recordfile").option("part", "header").load(str(tmp_path)).count() == 0
+    (tmp_path / "d.rio").write_bytes(_old(recordfile.PLAIN_MAGIC, b"cut")[:-1])
+    with pytest.raises(Exception, match="cut off"):
+        read.where(F.col("path").endswith("d.rio")).collect()
+        spark.read.format("recordfile").load(str(tmp_path / "d.rio")).collect()
+
+
+SCHEMA = T.StructType([T.StructField("key",T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("ok", T.BooleanType()), T.StructField("x", T.DoubleType())])
 
 
 def test_tsv(spark, tmp_path):
