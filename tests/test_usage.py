@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,39 +7,45 @@ from quern.operators import usage
 
 MINUTE = 60_000_000
 NOW = 1_700_000_000_000_000
-# Conformance cases whose results must match.
-ENTRIES = [(-60, 60), (0, 110), (0, 120), (59, 80), (59, 90), (121, 120), (180, 88), (180, 89), (180, 90), (180, 90)]
-END = 210
-# (terminated, start, end) -> (start, end, charge) in minutes, or None for missing data
-CASES = [
-    ((None, -90, -70), None),
-    ((None, 181, 240), None),
-    ((None, -90, -30), (-60, -30, 30)),
-    ((END, 120, 240), (120, END, 90 / 62 + 210)),
-    ((None, 120, 240), (120, 240, 90 / 62 + 210)),
-    ((None, 0, 5), (0, 5, 120 * 5 / 59)),
-    ((None, 1, 6), (1, 6, 120 * 5 / 59)),
-    ((None, 0, 80), (0, 80, 120 + 90 * 21 / 62)),
-    ((END, -90, 360), (-60, END, 480)),
-    ((None, -90, 360), (-60, 360, 480)),
-    ((END, -90, 195), (-60, 195, 435)),
-    ((None, -90, 195), (-60, 195, 480)),
-]
+END = 400
+
+
+def _prorated(entries, start, end, terminated):
+    """(start, end, charge) in minutes, minute by minute; None without data."""
+    own = {}
+    for t, c in entries:
+        own[t] = max(own.get(t, 0), c)
+    times = sorted(own)
+    first, last = times[0], times[-1]
+    if start >= last or end < first:
+        return None
+    charge = sum(own[t] / (u - t) for t, u in zip(times, times[1:], strict=False) for m in range(t, u) if start <= m < end)
+    over = terminated is not None and end >= terminated
+    if end >= last:
+        charge += own[last] if terminated is None or over else own[last] * (end - last) / (terminated - last)
+    return max(start, first), terminated if over else end, charge
 
 
-def test_cost_cases(spark):
-    entries = spark.createDataFrame([("i", NOW + m * MINUTE, float(c)) for m, c in ENTRIES], "instance_id string, ts long, charge_usd double")
+def test_cost_equals_minutes_added_up(spark):
+    r = random.Random(5)
+    feeds = {f"i-{k}": [(r.randrange(-100, 300), r.randrange(1, 90)) for _ in range(r.choice([1, 2, 6, 15]))] for k in range(8)}
+    feeds["i-0"] += [(t, c + 1) for t, c in feeds["i-0"]]  # repeats of a time count by their greatest charge
+    cases = []
+    for name, entries in feeds.items():
+        edges = [-200, *{t for t, _ in entries}, *(r.randrange(-150, 450) for _ in range(6)), 500]
+        for _ in range(14):
+            start, end = sorted(r.sample(edges, 2))
+            cases.append((name, start, end, r.choice([None, END])))
     at = lambda m: None if m is None else NOW + m * MINUTE
-    rows = [(k, "i", at(s), at(e), at(t)) for k, ((t, s, e), _) in enumerate(CASES)] + [(99, "other", NOW, NOW, None)]
+    entries = spark.createDataFrame([(i, at(t), float(c)) for i, own in feeds.items() for t, c in own], "instance_id string, ts long, charge_usd double")
+    rows = [(k, i, at(s), at(e), at(t)) for k, (i, s, e, t) in enumerate(cases)] + [(999, "other", NOW, NOW, None)]
     requests = spark.createDataFrame(rows, "request_id int, instance_id string, start long, end long, terminated long")
-    got = {r["request_id"]: r for r in usage.cost(entries, requests).collect()}
-    assert 99 not in got
-    for k, (_, want) in enumerate(CASES):
-        if want is None:
-            assert k not in got
-        else:
-            assert (got[k]["cost_start"], got[k]["cost_end"]) == (at(want[0]), at(want[1]))
-            assert got[k]["charge"] == pytest.approx(want[2])
+    got = {x["request_id"]: x for x in usage.cost(entries, requests).collect()}
+    want = {k: w for k, (i, s, e, t) in enumerate(cases) if (w := _prorated(feeds[i], s, e, t)) is not None}
+    assert got.keys() == want.keys() and 20 < len(want) < len(cases)
+    for k, (start, end, charge) in want.items():
+        assert (got[k]["cost_start"], got[k]["cost_end"]) == (at(start), at(end))
+        assert got[k]["charge"] == pytest.approx(charge)
 
 
 NAME = "123456789000.2021-02-20-18.002.cf3d1500"
