@@ -382,10 +382,13 @@ def tsv_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.select("s_suppkey", tsv.parse_value(F.col("n"), T.LongType()).alias("n"), tsv.parse_value(F.col("b"), T.BooleanType()).alias("b"), tsv.parse_value(F.col("h"), T.LongType(), "x").alias("h"))
 
 
-@query()
+_TABLES = "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier".split()
+
+
+@query("SELECT name || '.parquet' AS name, 'other' AS type, TRUE AS filled FROM (VALUES " + ", ".join(f"('{t}')" for t in _TABLES) + ") AS t(name)")
 def file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = files.list_files(spark, sf_dir, glob="*.parquet")
-    return listed.select(D.path_base(F.col("path")).alias("name"), D.file_type(F.col("path")).alias("type"), "length")
+    return listed.select(D.path_base(F.col("path")).alias("name"), D.file_type(F.col("path")).alias("type"), (F.col("length") > 0).alias("filled"))
 
 
 def queries() -> dict[str, Query]:
