@@ -341,12 +341,13 @@ def operation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH l AS (SELECT user_id, event_id AS off, event_type = (SELECT min(event_type) FROM events) AS snap FROM events), s AS (SELECT user_id, max(off) AS f FROM l WHERE snap GROUP BY user_id)
-SELECT l.user_id, l.off, CASE WHEN snap THEN 1 ELSE 2 END AS typ FROM l JOIN s ON l.user_id = s.user_id AND l.off >= s.f""")
+SELECT l.user_id, l.off, CASE WHEN snap THEN 2 ELSE 1 END AS typ, CASE WHEN NOT snap THEN coalesce(s.f, 0) ELSE coalesce((SELECT max(b.off) FROM l b WHERE b.user_id = l.user_id AND b.snap AND b.off < l.off), 0) END AS epoch
+FROM l LEFT JOIN s ON l.user_id = s.user_id WHERE l.off >= coalesce(s.f, 0)""")
 def state_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    first = e.agg(F.min("event_type")).first()[0]
-    log = e.select("user_id", F.col("event_id").alias("off"), F.when(F.col("event_type") == first, 1).otherwise(2).alias("typ"), F.lit(0).cast("long").alias("epoch"), F.col("props").alias("data"))
-    return state.restore(log, ["user_id"]).select("user_id", "off", "typ")
+    first = e.agg(F.min("event_type").alias("first"))
+    log = e.crossJoin(F.broadcast(first)).select("user_id", F.col("event_id").alias("off"), F.when(F.col("event_type") == F.col("first"), state.SNAPSHOT).otherwise(state.UPDATE).alias("typ"))
+    return state.restore(state.epochs(log, ["user_id"]), ["user_id"]).select("user_id", "off", "typ", "epoch")
 
 
 @query("SELECT l_orderkey, l_linenumber AS idx FROM (SELECT *, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS rn FROM lineitem) WHERE rn = l_linenumber")

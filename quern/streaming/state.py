@@ -8,7 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.usage import parse_lines
 
-SNAPSHOT, UPDATE = 1, 2
+# Types of state entries.
+UPDATE, SNAPSHOT = 1, 2
 
 
 def stream_feed(spark: SparkSession, root: str, tolerate: bool = False) -> DataFrame:
@@ -52,17 +53,24 @@ def released(df: DataFrame, index: str = "index", keys: list[str] | None = None,
 
 
 def restore(log: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """The last snapshot and the updates after it, from a log (off, typ, epoch, data).
+    """The last snapshot and the updates after it, from a log (off, typ, epoch, data); all updates where there is no snapshot.
 
-    Updates of another epoch than their snapshot's are an error.
+    An update's epoch is the offset of the snapshot it is based on, or 0; another one is an error.
     """
     if not keys:
         return restore(log.withColumn("_log", F.lit(0)), ["_log"]).drop("_log")
-    last = log.where(F.col("typ") == SNAPSHOT).groupBy(*keys).agg(F.max("off").alias("_from"), F.max_by("epoch", "off").alias("_epoch"))
-    joined = log.join(last, keys)
+    last = log.where(F.col("typ") == SNAPSHOT).groupBy(*keys).agg(F.max("off").alias("_from"))
+    joined = log.join(last, keys, "left").withColumn("_from", F.coalesce("_from", F.lit(0)))
     wrong = F.raise_error(F.lit("an update's epoch isn't its snapshot's")).cast("long")
     tail = joined.where(F.col("off") >= F.col("_from"))
-    return tail.withColumn("epoch", F.when(F.col("epoch") == F.col("_epoch"), F.col("epoch")).otherwise(wrong)).drop("_from", "_epoch")
+    right = (F.col("typ") == SNAPSHOT) | (F.col("epoch") == F.col("_from"))
+    return tail.withColumn("epoch", F.when(right, F.col("epoch")).otherwise(wrong)).drop("_from")
+
+
+def epochs(log: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The log (off, typ) with the epoch of each entry: the offset of the last snapshot before it, or 0."""
+    before = Window.partitionBy(*(keys or [])).orderBy("off").rowsBetween(Window.unboundedPreceding, -1)
+    return log.withColumn("epoch", F.coalesce(F.max(F.when(F.col("typ") == SNAPSHOT, F.col("off"))).over(before), F.lit(0).cast("long")))
 
 
 def operation_metrics(df: DataFrame, op: str, n_bytes: str, retries: str, millis: str, minutes: float) -> DataFrame:
