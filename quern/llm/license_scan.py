@@ -92,6 +92,23 @@ KNOWN = [
     ("MIT", "MIT License\n" + _MIT_BODY),
     ("MIT", _MIT_BODY),
 ]
+# Digests of the canonical forms of long public licences, as Debian's base-files has them in /usr/share/common-licenses.
+KNOWN_DIGESTS = [
+    ("Apache-2.0", "84d3349e651a19710ff5663d85fa8909a755f8fd41df0ba718da14a02975dda0"),
+    ("Artistic-1.0-Perl", "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2"),
+    ("BSD-3-Clause", "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71"),
+    ("GFDL-1.3", "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0", "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "1cfb6cca26abe2169c9c61164807107b2d4a0b64955a2cf2de46fad3483acda1"),
+    ("MPL-2.0", "8f0473f9c917c507827dca355168119bb065ca1a9dab0e366988bcdba5fa039b"),
+]
 # Spellings that count as the same, as (pattern, replacement) on lower-case text.
 SPELLINGS = [
     (r"\blicence(s|d|e|es)?\b", r"license$1"),
@@ -151,8 +168,11 @@ def known_digests(known: DataFrame) -> DataFrame:
     return found.groupBy(F.col("u.digest").alias("digest")).agg(F.min("licence_id").alias("licence_id"))
 
 
-def default_known(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KNOWN, "licence_id string, text string")
+def default_digests(spark: SparkSession) -> DataFrame:
+    """licence_id, digest of the texts and digests above."""
+    given = spark.createDataFrame(KNOWN_DIGESTS, "licence_id string, digest string").select("digest", "licence_id")
+    both = known_digests(spark.createDataFrame(KNOWN, "licence_id string, text string")).unionByName(given)
+    return both.groupBy("digest").agg(F.min("licence_id").alias("licence_id"))
 
 
 def known_from(spark: SparkSession, folder: str) -> DataFrame:
@@ -163,7 +183,7 @@ def known_from(spark: SparkSession, folder: str) -> DataFrame:
 
 def scan(docs: DataFrame, known: DataFrame | None = None, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per matched unit: doc_id, scope (text, paragraph, line), at (its number within the scope), licence_id."""
-    known = known_digests(known if known is not None else default_known(docs.sparkSession))
+    known = known_digests(known) if known is not None else default_digests(docs.sparkSession)
     # Not explode(): its implied filter on the array would have all of it computed twice.
     units = _digests(docs, text, [id_column]).select(id_column, F.explode_outer("_units").alias("u"))
     return units.where("u.digest IS NOT NULL").select(id_column, "u.*").join(known, "digest").select(id_column, "scope", "at", "licence_id")
@@ -191,6 +211,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in KNOWN)
+    digests = ", ".join(f"({quote(i)}, {quote(d)})" for i, d in KNOWN_DIGESTS)
     spelled = "lower(t)"
     for pattern, to in SPELLINGS:
         spelled = f"regexp_replace({spelled}, {quote(pattern)}, {quote(to.replace('$1', chr(92) + '1'))}, 'g')"
@@ -205,8 +226,8 @@ units AS (
   SELECT kind, id, r, 'line' AS scope, i AS pos, c FROM l3
   UNION ALL SELECT kind, id, r, 'paragraph', p, string_agg(c, ' ' ORDER BY i) FILTER (c <> '') FROM l4 WHERE p > 0 GROUP BY kind, id, r, p
   UNION ALL SELECT kind, id, r, 'text', 0, string_agg(c, ' ' ORDER BY i) FILTER (c <> '') FROM l3 GROUP BY kind, id, r),
-known AS (SELECT c, min(id) AS licence_id FROM units WHERE kind = 'k' AND scope = 'text' AND c <> '' GROUP BY c),
-hits AS (SELECT DISTINCT r, scope, pos, licence_id FROM units JOIN known USING (c) WHERE kind = 'd'),
+known AS (SELECT d, min(id) AS licence_id FROM (SELECT sha256(c) AS d, id FROM units WHERE kind = 'k' AND scope = 'text' AND c <> '' UNION ALL SELECT d, id FROM (VALUES {digests}) w(id, d)) GROUP BY d),
+hits AS (SELECT DISTINCT r, scope, pos, licence_id FROM units JOIN known ON sha256(c) = d WHERE kind = 'd'),
 by_doc AS (SELECT r, max(licence_id) FILTER (scope = 'text') AS licence_id, array_to_string(list_sort(list_distinct(list(licence_id))), ',') AS notices, count(*) FILTER (scope = 'line') AS n_notices FROM hits GROUP BY r)
 SELECT id::BIGINT AS doc_id, licence_id, coalesce(notices, '') AS notices, coalesce(n_notices, 0) AS n_notices
 FROM (SELECT r, id FROM src WHERE kind = 'd') LEFT JOIN by_doc USING (r)"""
