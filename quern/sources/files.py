@@ -21,6 +21,27 @@ def list_files(spark: SparkSession, path: str, recursive: bool = True, glob: str
     return reader.load(path).select("path", "length", "modificationTime").orderBy("path")
 
 
+def list_entries(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """path, length, is_dir of what lies directly in the folder ``path``, by path; a folder has the length of all files below it.
+
+    ``glob`` is for the entries' own names.  Empty files and folders without files aren't listed,
+    since Spark's file scan leaves them out.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString().rstrip("/")
+    rest = F.expr("substring(path, %d)" % (len(root) + 2))
+    files = list_files(spark, path).select(F.split_part(rest, F.lit("/"), F.lit(1)).alias("name"), F.contains(rest, F.lit("/")).alias("is_dir"), "length")
+    if glob:
+        files = files.where(F.col("name").rlike(_glob_regex(glob)))
+    entries = files.groupBy("name").agg(F.sum("length").alias("length"), F.bool_or("is_dir").alias("is_dir"))
+    return entries.select(F.concat(F.lit(root + "/"), "name").alias("path"), "length", "is_dir").orderBy("path")
+
+
+def _glob_regex(glob: str) -> str:
+    """A regular expression for ``*`` and ``?``; other characters stand for themselves."""
+    return "^" + "".join({"*": ".*", "?": "."}.get(c) or (c if c.isalnum() or c == "_" else "\\" + c) for c in glob) + "$"
+
+
 def stat(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
 
