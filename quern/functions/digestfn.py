@@ -110,10 +110,10 @@ def canonical_hash(*parts: Column, name: str = "sha256") -> Column:
 UNITS = ("B", "KiB", "MiB", "GiB", "TiB", "PiB", "EiB")
 
 
-def format_size(n: Column) -> Column:
-    """'512B', '1.5KiB' and so on, one decimal from KiB on, ties to even."""
+def format_size(n: Column, largest: str = UNITS[-1]) -> Column:
+    """'512B', '1.5KiB' and so on up to the unit ``largest``, one decimal from KiB on, ties to even."""
     out = F.concat(n.cast("string"), F.lit("B"))
-    for k in range(1, len(UNITS)):
+    for k in range(1, UNITS.index(largest) + 1):
         out = F.when(F.abs(n) >= 1 << (10 * k), F.concat(F.format_string("%.1f", F.bround(n / float(1 << (10 * k)), 1)), F.lit(UNITS[k]))).otherwise(out)
     return out
 
