@@ -4,16 +4,18 @@ Documents that share rare line hashes are found by joins, aligned by patience
 diff, and the aligned common blocks are deleted from the later document (the one
 of greater id).  A line of ``EVIDENCE_WORDS`` or more words in at most ``RARE``
 documents pairs each of its documents with all earlier ones, at most ``RARE`` - 1.
-What is in more documents pairs by rarer things made of it, whatever their number:
-every two lines that follow each other, and the list of all lines, pair a document
-with the least one that holds them, found as a minimum before the shuffle, so a
-block in a third of all documents costs one row a document and never a pair of
-each two.
+What is in more documents pairs by longer things, whatever their number: from each
+line the shortest run of lines with ``BLOCK_WORDS`` words, onwards and backwards,
+and the list of all lines pair a document with the least one that holds them, found
+as a minimum before the shuffle, so a block in a third of all documents costs one
+row a run and document and never a pair of each two.  Any block of that many words
+that a document shares with an earlier one is covered by such runs, each of which
+the earlier document or one before it holds.
 
 Deleted are blocks of consecutive aligned lines that hold a rare line of the pair,
-or two lines or more with ``BLOCK_WORDS`` words or more; and everything in a
-document whose lines are those of an earlier one.  Alignment is against documents
-as they came, so the result doesn't depend on an order of work.
+or ``BLOCK_WORDS`` words or more; and everything in a document whose lines are
+those of an earlier one.  Alignment is against documents as they came, so the
+result doesn't depend on an order of work.
 
 Defined cases: a null or empty text has no lines; empty lines don't take part
 and stay; texts of any length count whole; equal lines in one document are told
@@ -35,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .durable import drop_durable, durable
-from .textkernels import NEWLINE, column_bytes, lists, pieces, runs
+from .textkernels import BASE, NEWLINE, column_bytes, lists, mix, pieces, runs
 
 RARE = 16
 EVIDENCE_WORDS, BLOCK_WORDS = 5, 20
@@ -67,6 +69,46 @@ def line_table(docs: DataFrame) -> DataFrame:
     return docs.select(_row(), "text").mapInArrow(work, f"row {_ROW}, hashes array<long>, words array<int>, places array<int>")
 
 
+#: Inverse of the odd ``BASE``: hashes of any run of lines come from one running sum.
+_INVERSE = pow(BASE, -1, 1 << 64)
+
+
+def shortest_runs(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) of the shortest runs of ``BLOCK_WORDS`` words that begin or end at each line, inside the documents that begin at ``offsets``."""
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    n = np.diff(offsets)
+    each = np.arange(len(words))
+    onwards = np.searchsorted(total, total[:-1] + BLOCK_WORDS)
+    backwards = np.searchsorted(total, total[1:] - BLOCK_WORDS, "right") - 1
+    inside, after = onwards <= np.repeat(offsets[1:], n), backwards >= np.repeat(offsets[:-1], n)
+    both = np.column_stack([np.concatenate([each[inside], backwards[after]]), np.concatenate([onwards[inside], each[after] + 1])])
+    first, end = np.unique(both, axis=0).T
+    return first, end
+
+
+def _parts(lines: DataFrame) -> DataFrame:
+    """row, part: hashes of each document's shortest runs of enough words, and of all its lines."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("hashes")
+            offsets = column.offsets.to_numpy().astype(np.int64)
+            hashes = column.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint64)
+            words = batch.column("words").flatten().to_numpy()
+            offsets = offsets - offsets[0]
+            first, end = shortest_runs(words, offsets)
+            full = np.flatnonzero(np.diff(offsets))
+            first, end = np.concatenate([first, offsets[full]]), np.concatenate([end, offsets[full + 1]])
+            kind = np.repeat(np.array([0, 1], np.uint64), [len(first) - len(full), len(full)])
+            power, back = (np.cumprod(np.repeat(np.array([1, x], np.uint64), [1, len(hashes)])) for x in (BASE, _INVERSE))
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes) * power[:-1], dtype=np.uint64)])
+            part = mix((total[end] - total[first]) * back[first] + (end - first).astype(np.uint64) * np.uint64(2) + kind)
+            doc = np.searchsorted(offsets, first, "right") - 1
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(doc)), pa.array(part.view(np.int64))], names=["row", "part"])
+
+    return lines.where(F.size("hashes") > 0).select("row", "hashes", "words").mapInArrow(work, f"row {_ROW}, part long")
+
+
 def pairs(lines: DataFrame) -> DataFrame:
     """row, earlier, evidence (rare line hashes): the pairs to align, from a line table of unique rows."""
     wordy = F.filter(F.arrays_zip("hashes", "words"), lambda x: x["words"] >= EVIDENCE_WORDS)
@@ -77,9 +119,7 @@ def pairs(lines: DataFrame) -> DataFrame:
     both = lists_.select("h", "rows", F.posexplode("rows").alias("i", "row")).where("i > 0")
     by_line = both.select("row", F.explode(F.slice("rows", F.lit(1), F.col("i"))).alias("earlier"), "h").groupBy("row", "earlier").agg(F.collect_list("h").alias("evidence"))
 
-    two = F.zip_with("hashes", F.slice("hashes", 2, F.greatest(F.size("hashes"), F.lit(1))), lambda x, y: F.when(y.isNotNull(), F.xxhash64(x, y)))
-    parts = F.array_distinct(F.filter(F.concat(F.array(F.xxhash64(F.lit("whole"), "hashes")), two), lambda x: x.isNotNull()))
-    held = lines.where(F.size("hashes") > 0).select("row", F.explode(parts).alias("part"))
+    held = _parts(lines)
     first = held.groupBy("part").agg(F.min("row").alias("earlier"), F.max("row").alias("last")).where("earlier < last").drop("last")
     by_part = held.join(first, "part").where("row > earlier").select("row", "earlier").distinct()
     return by_part.join(by_line, ["row", "earlier"], "full").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<long>")))
@@ -149,7 +189,7 @@ def common_blocks(a: list[int], b: list[int], evidence: set[int], words: list[in
     last = (-2, -2)
     for i, j in [*patience(a, b), (-9, -9)]:
         if (i, j) != (last[0] + 1, last[1] + 1):
-            if any(b[k] in evidence for k in block) or (len(block) > 1 and sum(words[k] for k in block) >= BLOCK_WORDS):
+            if any(b[k] in evidence for k in block) or sum(words[k] for k in block) >= BLOCK_WORDS:
                 gone += block
             block = []
         block.append(j)

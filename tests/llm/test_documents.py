@@ -182,6 +182,43 @@ def test_line_dedup_equals_all_pairs(spark):
     assert few > 150 and missed <= 0.05 * few
 
 
+def test_shortest_runs_of_lines():
+    r = np.random.default_rng(3)
+    words, offsets = r.integers(0, 26, 60), np.array([0, 7, 7, 8, 40, 60])
+    got = set(zip(*(x.tolist() for x in line_dedup.shortest_runs(words, offsets)), strict=True))
+    want = set()
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        enough = [(i, j) for i in range(a, b) for j in range(i + 1, b + 1) if words[i:j].sum() >= line_dedup.BLOCK_WORDS]
+        want |= {min((x for x in enough if x[0] == i), key=lambda x: x[1]) for i in {x[0] for x in enough}}
+        want |= {max((x for x in enough if x[1] == j), key=lambda x: x[0]) for j in {x[1] for x in enough}}
+    assert got == want
+
+
+def test_equal_runs_have_equal_parts_wherever_they_stand(spark):
+    r = random.Random(9)
+    pool = [" ".join(words_of(r, 7, 500)) for _ in range(6)]
+    texts = ["\n".join(r.choices(pool, k=r.randint(1, 9))) for _ in range(80)]
+    parts = {}
+    for x in line_dedup._parts(line_dedup.line_table(docs_of(spark, texts)).coalesce(1)).collect():
+        parts.setdefault(x["row"]["doc_id"], set()).add(x["part"])
+    runs = [{tuple(t[i : i + 3]) for i in range(len(t) - 2)} | {("whole", *t)} for t in (x.split("\n") for x in texts)]
+    assert all(len(parts[i]) == len(runs[i]) for i in range(80))
+    assert all(len(parts[i] & parts[j]) == len(runs[i] & runs[j]) for i in range(80) for j in range(i))
+
+
+def test_frequent_lines_have_all_their_partners(spark):
+    """Blocks in more than RARE documents, each two of whose lines an earlier document holds apart; and one long line."""
+    block = [f"boiler plate line {x} is here today" for x in "abcd"]  # 7 words each: no two lines are enough words
+    long = " ".join(f"w{i}" for i in range(60))
+    apart = [[block[0], block[1]], [block[1], block[2]], [block[2], block[3]]]
+    texts = ["\n".join([*x, f"own {i}"]) for i, x in enumerate(apart)]
+    texts += ["\n".join([f"head {i}", *block, f"tail {i}"]) for i in range(20)]
+    texts += ["\n".join([f"top {i}", long, f"bottom {i}"]) for i in range(20)]
+    out = {x["doc_id"]: x["deleted"] for x in _op2(spark, docs_of(spark, texts)).collect()}
+    assert [out[i] for i in range(4)] == [""] * 4 and {out[i] for i in range(4, 23)} == {"1,2,3,4"}
+    assert out[23] == "" and {out[i] for i in range(24, 43)} == {"1"}
+
+
 def _op2(spark, df):
     lines = line_dedup._prepared(df)
     out = lines.select("row.doc_id", "row").join(line_dedup.deletions(lines), "row", "left")
