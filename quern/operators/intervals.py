@@ -83,32 +83,58 @@ def overlap_join(a: DataFrame, b: DataFrame, a_start: str, a_limit: str, b_start
     return met
 
 
-#: Ranges of starts in which intervals without keys are compacted.
+#: Ranges of starts in which the intervals of one large key, or of all without keys, are compacted.
 RANGES = 256
+#: Rows that a task of a compaction sorts, on average; a key with more is cut into ranges.
+ROWS = 1 << 18
 
 
 def compact(df: DataFrame, start: str, limit: str, keys: list[str] | None = None) -> DataFrame:
     """keys, start, limit of the union's maximal intervals; touching ones merge.
 
-    Without keys, starts are cut into ranges of about equal numbers of rows.  Each
-    range gets the greatest limit before it, so that its islands are known on their
-    own, and islands are numbered through by counts of ranges; only one row a range
-    meets in one place.
+    Rows are counted first, so that the number of tasks grows with them and a task
+    sorts about ``ROWS``, however well shuffled rows compress.  Without keys, and in
+    keys with more rows than that, starts are cut into ranges.
     """
     rows = df.where(F.col(start) < F.col(limit)).select(*(keys or []), F.col(start).alias("start"), F.col(limit).alias("limit"))
-    if keys:
-        return _islands(rows, keys)
-    # One row of RANGES numbers, so this is no cross product.
-    cuts = rows.agg(F.array_distinct(F.percentile_approx("start", [k / RANGES for k in range(1, RANGES)], 1 << 12)).alias("_cuts"))
-    placed = rows.crossJoin(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= F.col("start")))).drop("_cuts")
-    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows
-    before = placed.groupBy("_range").agg(F.max("limit").alias("_most")).select("_range", F.max("_most").over(upto).alias("_carry"))
-    order = Window.partitionBy("_range").orderBy("start", "limit")
+    if not keys:
+        return _ranged(rows.withColumn("_key", F.lit(0)), _tasks(rows.count())).drop("_key")
+    # A struct is equal to another with nulls in the same places.
+    named = rows.select(F.struct(*keys).alias("_key"), "start", "limit")
+    sizes = named.groupBy("_key").agg(F.count(F.lit(1)).alias("n"))
+    total, most = sizes.agg(F.sum("n"), F.max("n")).first()
+    tasks = _tasks(total or 0)
+    if (most or 0) <= ROWS:
+        return _islands(rows.repartition(tasks, *keys), keys)
+    large = F.broadcast(sizes.where(F.col("n") > ROWS).select("_key"))  # fewer than one in ROWS rows
+    small = _islands(named.join(large, "_key", "left_anti").repartition(tasks, "_key"), ["_key"])
+    return small.unionByName(_ranged(named.join(large, "_key", "left_semi"), tasks)).select("_key.*", "start", "limit")
+
+
+def _tasks(rows: int) -> int:
+    return max(1, -(-rows // ROWS))
+
+
+def _ranged(rows: DataFrame, tasks: int) -> DataFrame:
+    """_key, start, limit of the islands of few large keys.
+
+    Starts are cut into ranges of about equal numbers of rows.  Each range gets the
+    greatest limit before it, so that its islands are known on their own, and islands
+    are numbered through by counts of ranges; only one row a range meets in one place.
+    """
+    # At most RANGES numbers for each of few keys.
+    cuts = rows.groupBy("_key").agg(F.array_distinct(F.percentile_approx("start", [k / RANGES for k in range(1, RANGES)], 1 << 12)).alias("_cuts"))
+    placed = rows.join(F.broadcast(cuts), "_key").withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= F.col("start")))).drop("_cuts")
+    placed = placed.repartition(tasks, "_key", "_range")
+    place = ["_key", "_range"]
+    upto = Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows
+    before = placed.groupBy(*place).agg(F.max("limit").alias("_most")).select(*place, F.max("_most").over(upto).alias("_carry"))
+    order = Window.partitionBy(*place).orderBy("start", "limit")
     reach = F.greatest(F.max("limit").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("_carry"))
-    marked = placed.join(F.broadcast(before), "_range").withColumn("_new", (F.col("start") > F.coalesce(reach, F.col("start") - 1)).cast("long"))
+    marked = placed.join(F.broadcast(before), place).withColumn("_new", (F.col("start") > F.coalesce(reach, F.col("start") - 1)).cast("long"))
     numbered = marked.withColumn("_own", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    made = marked.groupBy("_range").agg(F.sum("_new").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_base"))
-    islands = numbered.join(F.broadcast(made), "_range").groupBy((F.col("_base") + F.col("_own")).alias("_island"))
+    made = marked.groupBy(*place).agg(F.sum("_new").alias("_n")).select(*place, F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_base"))
+    islands = numbered.join(F.broadcast(made), place).groupBy("_key", (F.col("_base") + F.col("_own")).alias("_island"))
     return islands.agg(F.min("start").alias("start"), F.max("limit").alias("limit")).drop("_island")
 
 

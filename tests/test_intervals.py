@@ -81,3 +81,32 @@ def test_very_long_intervals_take_few_buckets(spark):
     b = spark.createDataFrame([(1, year - 1, 3 * year), (2, 5, 7)], "y long, b_s long, b_e long")
     got = {(r["x"], r["y"]) for r in intervals.overlap_join(a, b, "a_s", "a_e", "b_s", "b_e").collect()}
     assert got == {(1, 1), (1, 2), (2, 2)}
+
+
+@pytest.mark.parametrize("rows", [40, 10**6])
+def test_compact_with_keys_large_and_small(spark, monkeypatch, rows):
+    """Large keys are cut into ranges; a null key is one too; equal rows, whose order nothing tells, don't matter."""
+    monkeypatch.setattr(intervals, "ROWS", rows)
+    r = random.Random(7)
+    data = []
+    for k, n in ((1, 500), (2, 30), (None, 300), (4, 1)):
+        data += [(k, "x", s, s + r.choice([0, 1, 3, 20, 400])) for s in (r.randrange(6000) for _ in range(n))]
+    data += r.choices(data, k=200)
+    df = spark.createDataFrame(data, "k int, name string, s long, e long")
+    out = intervals.compact(df, "s", "e", ["k", "name"])
+    got = sorted((str(x["k"]), x["name"], x["start"], x["limit"]) for x in out.collect())
+    assert out.columns == ["k", "name", "start", "limit"]
+    want = []
+    for k, name, s, e in sorted((str(k), name, s, e) for k, name, s, e in data if s < e):
+        if want and want[-1][0] == k and s <= want[-1][3]:
+            want[-1][3] = max(want[-1][3], e)
+        else:
+            want.append([k, name, s, e])
+    assert got == sorted(map(tuple, want))
+
+
+def test_tasks_of_a_compaction_grow_with_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "ROWS", 100)
+    df = spark.range(3000).selectExpr("id % 50 AS k", "id AS s", "id + 2 AS e")
+    used = intervals.compact(df, "s", "e", ["k"]).select("k", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len({x["p"] for x in used}) > 10  # four shuffle partitions in these tests
