@@ -61,6 +61,8 @@ LEAST_BITS, MOST_BITS = 64, 1 << 16
 BLOCK = 4096
 #: Slots of the level table, the most tokens that get a level, and the least count that does.
 SLOT_BITS, MOST_COUNTED, LEAST_COUNT = 24, 1 << 20, 16
+#: Leading bits of a hash that are counted apart; what shares them shares a level. The rest of a long holds a batch's count.
+COUNTED_BITS = 40
 
 
 def needed(n: int, percent: int) -> int:
@@ -100,18 +102,22 @@ def _levels(docs: DataFrame, width: int) -> np.ndarray:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 8 << 20):
             every = list(sets(batch.column("text"), width))
-            h, n = np.unique(np.concatenate(every), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], names=["h", "n"])
+            h, n = np.unique(np.concatenate(every) >> np.uint64(64 - COUNTED_BITS), return_counts=True)
+            # A batch has fewer texts with words than the other bits can count.
+            packed = h.astype(np.int64) << (64 - COUNTED_BITS) | n
+            yield pa.RecordBatch.from_arrays([pa.array(packed)], names=["packed"])
 
     # Batches have added up what repeats in them; dealing rows by token first spares a map of all tokens in each reading task.
-    counted = docs.select("text").mapInArrow(work, "h long, n int").repartition("h").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
+    h = F.shiftrightunsigned("packed", 64 - COUNTED_BITS)
+    dealt = docs.select("text").mapInArrow(work, "packed long").repartition(h)
+    counted = dealt.groupBy(h.alias("h")).agg(F.sum(F.col("packed").bitwiseAND((1 << (64 - COUNTED_BITS)) - 1)).alias("n")).where(F.col("n") >= LEAST_COUNT)
     counted = durable(counted.select("h", F.floor(F.log2(F.col("n") / LEAST_COUNT)).cast("int").alias("level")), "ngram-counts")
     # At most 64 rows.
     have = {r["level"]: r["n"] for r in counted.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()}
     least = next(k for k in range(65) if sum(n for level, n in have.items() if level >= k) <= MOST_COUNTED)
     table = np.zeros(1 << SLOT_BITS, np.uint8)
     # At most MOST_COUNTED rows of two ints, whatever the corpus.
-    slot = F.shiftrightunsigned("h", 64 - SLOT_BITS).cast("int").alias("slot")
+    slot = F.shiftrightunsigned("h", COUNTED_BITS - SLOT_BITS).cast("int").alias("slot")
     top = counted.where(F.col("level") >= least).groupBy(slot).agg(F.max("level").alias("level")).toArrow()
     table[top.column("slot").to_numpy()] = top.column("level").to_numpy() - least + 1
     drop_durable(counted)
@@ -318,7 +324,8 @@ def join_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     chosen = real.join(first, ["node", "doc_id"], "left_semi")
 
     # Order 1: the tokens that several sets have in their prefixes.
-    tokens = chosen.select("node", "n", F.explode("head").alias("h")).distinct()
+    # Dealt by token once, for all three steps; otherwise each shuffles all tokens its own way.
+    tokens = chosen.select("node", "n", F.explode("head").alias("h")).repartition("h").distinct()
     shared = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     met = durable(tokens.join(shared, "h"), "ngram-entries")
     narrow = durable(chosen.select("node", "doc_id", "n", "sketch", "second", "third").join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "ngram-narrow")

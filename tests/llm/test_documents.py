@@ -104,6 +104,33 @@ def test_ngram_join_on_odd_tables(spark):
     assert ngram_join.join_components(df.where("false")).count() == 0
 
 
+def test_levels_count_all_documents_of_a_token(spark):
+    texts = ["one two three four five"] * 70 + [f"{i} alone in here {i}" for i in range(50)] + ["six six six six"] * 17 + [None, ""]
+    table = ngram_join._levels(docs_of(spark, texts).repartition(3), 4)
+    hot, = ngram_join.sets(pa.array(["one two three four five"]), 4)
+    mild, = ngram_join.sets(pa.array(["six six six six"]), 4)
+    assert table[ngram_join._slots(hot)].tolist() == [3, 3] and table[ngram_join._slots(mild)].tolist() == [1] and (table > 0).sum() == 3
+
+
+def test_tokens_are_shuffled_once(spark, monkeypatch):
+    """Counting and joining shared prefix tokens read the shuffle that dealt them by token."""
+    plans = {}
+    real = ngram_join.durable
+
+    def durable(df, name, *more):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name, *more)
+
+    monkeypatch.setattr(ngram_join, "durable", durable)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ngram_join.join_components(docs_of(spark, ["a b c d e f g"] * 3 + ["a b c d e f h"]))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [x for x in plans["ngram-entries"].split("\n") if "Exchange" in x and "h#" in x]
+    assert dealt and all("REPARTITION_BY_COL" in x for x in dealt)
+
+
 def thue_morse(n):
     text = "a"
     while len(text) < n:
