@@ -151,6 +151,51 @@ def covered_length(df: DataFrame, start: str, limit: str, keys: list[str] | None
     return compact(df, start, limit, keys).groupBy(*(keys or [])).agg(F.coalesce(F.sum(F.col("limit") - F.col("start")), F.lit(0)).alias("covered"))
 
 
+def overlap_totals(a: DataFrame, b: DataFrame, a_start: str, a_limit: str, b_start: str, b_limit: str) -> DataFrame:
+    """Rows of a that meet intervals of b, with ``pairs``, their number, and ``shared``, the summed length of the intersections.
+
+    These are the aggregates of :func:`overlap_join` by rows of a, without its pairs:
+    an interval meets those that start before its limit less those that end up to its
+    start, and shares the area below b's depth between its ends.  Both are running
+    totals over the ends of all intervals in order, in ranges of about equal numbers
+    of ends, of which one row each meets in one place.  Names ``_...`` are taken.
+    """
+    x = a.where(F.col(a_start) < F.col(a_limit))
+    y = b.where(F.col(b_start) < F.col(b_limit))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    ends = y.select(F.col(b_start).alias("_at"), one.alias("_s"), none.alias("_l")).unionByName(y.select(F.col(b_limit).alias("_at"), none.alias("_s"), one.alias("_l")))
+    asked = x.select(F.col(a_start).alias("_at")).union(x.select(F.col(a_limit).alias("_at")))
+    # One row a place, so that many equal ends are added up before the shuffle.
+    places = ends.unionByName(asked.select("_at", none.alias("_s"), none.alias("_l"))).groupBy("_at").agg(F.sum("_s").alias("_s"), F.sum("_l").alias("_l"))
+    cuts = asked.agg(F.array_distinct(F.percentile_approx("_at", [k / RANGES for k in range(1, RANGES)], 1 << 12)).alias("_cuts"))
+    ranged = places.crossJoin(F.broadcast(cuts)).withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= F.col("_at")))).drop("_cuts")
+    order = Window.partitionBy("_range").orderBy("_at")
+    upto = order.rowsBetween(Window.unboundedPreceding, -1)
+    depth = F.coalesce(F.sum(F.col("_s") - F.col("_l")).over(upto), none)
+    step = F.coalesce(F.col("_at") - F.lag("_at").over(order), none)
+    local = ranged.withColumn("_begun", F.coalesce(F.sum("_s").over(upto), none)).withColumn("_ended", F.sum("_l").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    local = local.withColumn("_depth", depth).withColumn("_step", step).withColumn("_area", F.sum(F.col("_depth") * F.col("_step")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # What a range adds to the next ones; at most RANGES rows.
+    whole = local.groupBy("_range").agg(F.sum("_s").alias("_ts"), F.sum("_l").alias("_tl"), F.max_by("_area", "_at").alias("_ta"), F.min("_at").alias("_from"), F.max("_at").alias("_to"))
+    ranges = Window.orderBy("_range")
+    before = ranges.rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.withColumn("_bs", F.coalesce(F.sum("_ts").over(before), none)).withColumn("_bl", F.coalesce(F.sum("_tl").over(before), none))
+    open_ = F.col("_bs") - F.col("_bl")
+    gap = F.coalesce(F.col("_from") - F.lag("_to").over(ranges), none) * open_
+    whole = whole.withColumn("_gap", gap).withColumn("_inside", F.col("_ta") + open_ * (F.col("_to") - F.col("_from")))
+    whole = whole.withColumn("_ba", F.sum("_gap").over(ranges.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.sum("_inside").over(before), none))
+    totals = local.join(F.broadcast(whole.select("_range", "_bs", "_bl", "_ba", "_from")), "_range").select(
+        "_at",
+        (F.col("_bs") + F.col("_begun")).alias("_begun"),
+        (F.col("_bl") + F.col("_ended")).alias("_ended"),
+        (F.col("_ba") + F.col("_area") + open_ * (F.col("_at") - F.col("_from"))).alias("_area"),
+    )
+    first = totals.select(F.col("_at").alias(a_start), F.col("_ended").alias("_out"), F.col("_area").alias("_area_from"))
+    last = totals.select(F.col("_at").alias(a_limit), F.col("_begun").alias("_in"), F.col("_area").alias("_area_to"))
+    met = x.join(first, a_start).join(last, a_limit).withColumn("pairs", F.col("_in") - F.col("_out")).where("pairs > 0")
+    return met.select(*a.columns, "pairs", (F.col("_area_to") - F.col("_area_from")).alias("shared"))
+
+
 def exists(a: DataFrame, b: DataFrame, a_start: str, a_limit: str, b_start: str, b_limit: str, id_column: str, width: int = 64) -> DataFrame:
     """Rows of a that meet any interval of b; b is reduced to its union first."""
     union = compact(b, b_start, b_limit).select(F.col("start").alias("_s"), F.col("limit").alias("_l"))

@@ -110,3 +110,28 @@ def test_tasks_of_a_compaction_grow_with_its_rows(spark, monkeypatch):
     df = spark.range(3000).selectExpr("id % 50 AS k", "id AS s", "id + 2 AS e")
     used = intervals.compact(df, "s", "e", ["k"]).select("k", F.spark_partition_id().alias("p")).distinct().collect()
     assert len({x["p"] for x in used}) > 10  # four shuffle partitions in these tests
+
+
+@pytest.mark.parametrize("far", [500, 10**15])
+def test_overlap_totals_equal_the_pairs(spark, far):
+    r = random.Random(far)
+    make = lambda n: [(s := r.randint(-far, far), s + int(r.expovariate(1 / r.choice([3, 30, far])))) for _ in range(n)]
+    a, b = make(150), make(130)
+    a, b = a + a[:10] + [(5, 5), (6, 2)], b + b[:10] + [(7, 7)]
+    got = intervals.overlap_totals(_df(spark, a, "ius"), _df(spark, b, "jvt"), "u", "s", "v", "t")
+    want = []
+    for i, (s, e) in enumerate(a):
+        both = [min(e, y) - max(s, x) for x, y in b if s < e and x < y and e > x and y > s]
+        if both:
+            want.append((i, len(both), sum(both)))
+    assert sorted((x["i"], x["pairs"], x["shared"]) for x in got.collect()) == want
+    assert intervals.overlap_totals(_df(spark, a, "ius"), _df(spark, [], "jvt"), "u", "s", "v", "t").count() == 0
+
+
+def test_overlap_totals_never_make_pairs(spark):
+    """A thousand equal intervals on both sides: a million pairs, few rows."""
+    a = spark.range(1000).selectExpr("id AS i", "0L AS u", "id + 1 AS s")
+    b = spark.range(1000).selectExpr("id AS j", "0L AS v", "id + 1 AS t")
+    out = intervals.overlap_totals(a, b, "u", "s", "v", "t")
+    x = out.agg(F.sum("pairs"), F.sum("shared")).first()
+    assert tuple(x) == (10**6, sum(min(p, q) for p in range(1, 1001) for q in range(1, 1001)))
