@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, decontaminate, line_dedup, ngram_join, quality_classifier, substring_dedup
+from quern.llm import bpe, decontaminate, line_dedup, ngram_join, quality_classifier, substring_dedup, textkernels
 from quern.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -335,6 +335,49 @@ def test_passages_quoted_in_part_by_an_earlier_document(spark):
     assert len({x["doc_id"] for x in out}) >= 0.95 * len(pairs)
 
 
+def test_passages_at_the_threshold(spark):
+    r = random.Random(20)
+    fill = lambda n: words_of(r, n, 10**6)
+    texts = []
+    for i in range(150):
+        p = fill(50)
+        q = [*p[:5], *fill(5), *p[5:]] if i % 3 == 0 else p[:]  # 41 of 46 shingles of the longer one's rest
+        if i % 3 == 1:
+            q[r.randint(4, 45)] = fill(1)[0]  # five of 46 shingles differ: 41 of 51
+        elif i % 3 == 2:
+            q = p[:45] + fill(5)  # 41 shingles in one run
+        texts += [" ".join(fill(40) + x + fill(40)) for x in (p, q)]
+    out = substring_dedup.repeated_passages(docs_of(spark, texts)).collect()
+    assert {(x["doc_id"], x["other_id"]) for x in out} == {(2 * i + 1, 2 * i) for i in range(150)}
+
+
+def test_passages_of_many_documents_with_one_line(spark):
+    r = random.Random(21)
+    fill = lambda n: words_of(r, n, 10**6)
+    line = fill(24)
+    held = [fill(40) for _ in range(12)]
+    texts = [" ".join(fill(60) + line + held[i % 12] + fill(60)) for i in range(24)]
+    out = substring_dedup.repeated_passages(docs_of(spark, texts)).collect()
+    assert {(x["doc_id"], x["other_id"]) for x in out} == {(i + 12, i) for i in range(12)}
+
+
+def test_passages_against_all_intervals():
+    r = np.random.default_rng(22)
+    found = []
+    for i in range(24):
+        a = r.permutation(1000).astype(np.uint64)[:28]
+        part = a[2 : 2 + r.integers(14, 24)].copy()
+        if i % 2:
+            part[r.integers(0, len(part))] += np.uint64(5000)
+        b = np.concatenate([r.integers(2000, 3000, 4).astype(np.uint64), part, r.integers(3000, 4000, 4).astype(np.uint64)])
+        x, y = (textkernels.shingles(w, substring_dedup.WIDTH) for w in (a, b))
+        spans = [[set(w[k:m].tolist()) for k in range(len(w)) for m in range(k + 12, len(w) + 1)] for w in (x, y)]
+        best = max((len(p & q) / len(p | q) for p in spans[0] for q in spans[1]), default=0)
+        found.append(bool(substring_dedup.passages(x, y, 12, 0.8)))
+        assert found[-1] == (best >= 0.8)
+    assert {True, False} == set(found)
+
+
 def test_passages_on_odd_tables(spark):
     r = random.Random(19)
     passage = " ".join(words_of(r, 60, 10**6))
