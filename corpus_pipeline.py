@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import bpe, decontaminate, line_dedup, ngram_join, quality_classifier
+from quern.llm.apart import apart
 from quern.llm.durable import durable
 
 
@@ -41,8 +42,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = F.col("doc_id").cast("long")
     groups = ngram_join.join_components(docs.where(own.isNotNull()), width=5, percent=80)
     # Rows, not ids, are in groups: an id stays where any of its rows leads a group.
-    first = durable(groups.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct(), "near-first")
-    return docs.join(first, own == first["_first"], "left_semi").unionByName(docs.where(own.isNull()))
+    led = groups.groupBy(F.col("doc_id").alias("_gone")).agg(F.max(F.expr("doc_id = component_id")).alias("led"))
+    gone = durable(led.where("NOT led").select("_gone"), "near-gone")
+    may, rest = apart(docs, own, gone)
+    return may.join(gone, own == gone["_gone"], "left_anti").union(rest)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .apart import apart
 from .durable import drop_durable, durable
 from .textkernels import BASE, NEWLINE, column_bytes, lists, mix, pieces, runs
 
@@ -225,10 +226,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     gone = durable(deletions(lines), "line-deletions")
     drop_durable(lines)
     mine, lost = (next(n for k in range(99) if (n := f"{x}{k}") not in docs.columns) for x in ("_row", "_lost"))
-    joined = docs.withColumn(mine, _row()).join(gone.select(F.col("row").alias(mine), F.col("gone").alias(lost)), mine, "left")
+    may, rest = apart(docs, _row(), gone.select("row"))
+    joined = may.withColumn(mine, _row()).join(gone.select(F.col("row").alias(mine), F.col("gone").alias(lost)), mine, "left")
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(lost, i))
     cut = joined.withColumn("text", F.when(F.col(lost).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    return cut.where(F.col(lost).isNull() | F.col("text").rlike(r"[^\n]")).select(*docs.columns)
+    return cut.where(F.col(lost).isNull() | F.col("text").rlike(r"[^\n]")).select(*docs.columns).union(rest)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

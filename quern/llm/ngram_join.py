@@ -51,6 +51,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .apart import apart
 from .components import components
 from .durable import drop_durable, durable
 from .textkernels import MIX_1, column_bytes, lists, mix, pieces, runs, shingles
@@ -266,12 +267,13 @@ def _links(pairs: DataFrame, docs: DataFrame, narrow: DataFrame, width: int, per
     """Those of ``pairs`` (a, b) that link; texts are read again only of nodes in pairs that pass all filters."""
     pairs = durable(_filtered(pairs, narrow, percent), "ngram-passing")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = narrow.select("node", "doc_id").join(nodes, "node", "left_semi").select("doc_id")
-    full = durable(_full_sets(docs.join(wanted, "doc_id", "left_semi"), width), "ngram-sets")
+    wanted = durable(narrow.join(nodes, "node", "left_semi").select("doc_id"), "ngram-wanted")
+    may, _ = apart(docs, F.col("doc_id"), wanted)
+    full = durable(_full_sets(may.join(wanted, "doc_id", "left_semi"), width), "ngram-sets")
     left, right = (full.select(F.col("node").alias(k), F.col("tokens").alias(f"t{k}")) for k in ("a", "b"))
     links = durable(_verified(pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb"), percent), "ngram-links")
-    drop_durable(pairs)
-    drop_durable(full)
+    for table in (pairs, wanted, full):
+        drop_durable(table)
     return links
 
 

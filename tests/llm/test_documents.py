@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import bpe, decontaminate, line_dedup, ngram_join, quality_classifier, substring_dedup, textkernels
+from quern.llm.apart import apart
 from quern.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -131,6 +132,34 @@ def test_tokens_are_shuffled_once(spark, monkeypatch):
     assert dealt and all("REPARTITION_BY_COL" in x for x in dealt)
 
 
+def test_only_texts_in_question_are_shuffled(spark, monkeypatch):
+    """With lists too long to broadcast, texts that no key concerns stay where they are, in all three joins."""
+    import corpus_pipeline
+
+    base = [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(60)]
+    docs = docs_of(spark, [*base, *(b + " end" for b in base[:3]), None], [*range(63), None])
+    plans = {}
+    real = ngram_join.durable
+
+    def durable(df, name, *more):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name, *more)
+
+    monkeypatch.setattr(ngram_join, "durable", durable)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near = corpus_pipeline.near_copies(spark, docs, SF)
+        lines = line_dedup.dedup_lines(docs_of(spark, [*base, *base[:3], None], [*range(63), None]))
+        plans |= {"near": near._jdf.queryExecution().executedPlan().toString(), "lines": lines._jdf.queryExecution().executedPlan().toString()}
+        assert sorted((x["doc_id"] for x in near.collect()), key=str) == sorted([*range(60), None], key=str)
+        assert sorted((x["doc_id"] for x in lines.collect()), key=str) == sorted([*range(60), None], key=str)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert all("LeftSemi" in plans[k] and "BroadcastHashJoin" in plans[k] for k in ("ngram-sets", "near", "lines"))
+    may, rest = apart(docs, F.col("doc_id"), spark.range(5))
+    assert {*range(5)} <= {x["doc_id"] for x in may.collect()} and may.count() + rest.count() == 64 and may.count() < 10
+
+
 def thue_morse(n):
     text = "a"
     while len(text) < n:
