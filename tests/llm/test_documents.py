@@ -390,6 +390,39 @@ def test_passages_of_many_documents_with_one_line(spark):
     assert {(x["doc_id"], x["other_id"]) for x in out} == {(i + 12, i) for i in range(12)}
 
 
+def test_pairs_of_a_line_or_a_repeated_word_are_not_compared(spark, monkeypatch):
+    r = random.Random(23)
+    fill = lambda n: words_of(r, n, 10**6)
+    line, held = fill(24), fill(60)
+    texts = [" ".join(fill(60) + (line if i % 2 else ["the"] * r.randint(18, 44)) + fill(60)) for i in range(60)]
+    # Two that only the last step compares: one line with all others, one passage with each other.
+    texts += [" ".join(fill(60) + line + held + fill(60)) for _ in range(2)]
+    compared, texts_of = [], substring_dedup._texts_of
+
+    def counted(docs, pairs, *rest):
+        compared.append(pairs.count())
+        return texts_of(docs, pairs, *rest)
+
+    monkeypatch.setattr(substring_dedup, "_texts_of", counted)
+    out = substring_dedup.repeated_passages(docs_of(spark, texts)).collect()
+    assert {(x["doc_id"], x["other_id"]) for x in out} == {(61, 60)}
+    assert sum(compared) <= 3 * len(texts)
+
+
+def test_passages_at_spots_are_those_that_meet_them():
+    r = np.random.default_rng(24)
+    a = r.permutation(10**6).astype(np.uint64)[:900]
+    for gap in (9, 14, 20, 31):
+        b = a.copy()
+        for i in range(gap, len(b), gap):
+            b[i] += np.uint64(2 * 10**6)
+        x, y = (textkernels.shingles(w, substring_dedup.WIDTH) for w in (a, b))
+        whole = substring_dedup.passages(x, y, 46, 0.8)
+        for place in range(0, len(y), 57):
+            near = substring_dedup.passages(x, y, 46, 0.8, [(place, place)])
+            assert any(s <= place < e for s, e, *_ in near) or not any(s <= place < e for s, e, *_ in whole) or y[place] not in x
+
+
 def test_passages_against_all_intervals():
     r = np.random.default_rng(22)
     found = []
