@@ -409,6 +409,26 @@ def test_pairs_of_a_line_or_a_repeated_word_are_not_compared(spark, monkeypatch)
     assert sum(compared) <= 3 * len(texts)
 
 
+def test_windows_are_made_and_dealt_once(spark):
+    r = random.Random(25)
+    docs = docs_of(spark, [" ".join(words_of(r, 80, 10**6)) for _ in range(4)])
+    plan = substring_dedup._keyed(substring_dedup._windows(docs, 16))._jdf.queryExecution().executedPlan().toString()
+    # Texts are cut into windows once; windows are dealt by signature, then by key.
+    assert plan.count("MapInArrow") == 1 and plan.count("Exchange hashpartitioning") == 2
+
+
+def test_texts_of_many_pairs_are_cut_once(spark, monkeypatch):
+    r = random.Random(26)
+    held = words_of(r, 60, 10**6)
+    text = " ".join(held)
+    known, cut, shingled = {}, [], substring_dedup._shingled
+    monkeypatch.setattr(substring_dedup, "_shingled", lambda column: cut.append(len(column)) or shingled(column))
+    for _ in range(3):
+        known = substring_dedup._known(pa.record_batch({"other_id": pa.array([7, 7, 9]), "a": pa.array([text, text, "few words"])}), known)
+    assert sum(cut) == 2 and len(known[7][0]) == 56 and len(known[9][0]) == 0
+    assert (known[7][0][known[7][1]] == known[7][2]).all()
+
+
 def test_passages_at_spots_are_those_that_meet_them():
     r = np.random.default_rng(24)
     a = r.permutation(10**6).astype(np.uint64)[:900]
